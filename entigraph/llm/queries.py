@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import documents
+from . import decontaminate, linededup, mixing, secrets, simhash, tokens, warc
+from .common import documents, shared_path
 
-ORACLE: dict[str, str] = {}
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(documents(spark, sf_dir, "pages"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir), shared_path(spark, "secret-ledger"))
+    findings = F.col("findings")
+    counts = [secrets.count_of(findings, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    spans = secrets.digest(findings)
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_frequent_lines(documents(spark, sf_dir), least_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +50,17 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_warc_source": op2_warc_source,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_token_output": op5_token_output,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
+
+ORACLE = {
+    "op2_warc_source": warc.ORACLE_SQL,
+    "op3_secret_scan": secrets.ORACLE_SQL,
+    "op8_line_dedup": linededup.ORACLE_SQL,
+}
