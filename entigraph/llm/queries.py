@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, secrets, simhash, tokens, warc
+from . import ann, decontaminate, linededup, mixing, secrets, simhash, tokens, toxicity, warc
 from .common import documents, shared_path
 
 
@@ -31,10 +31,20 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, documents(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=0.7)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +63,9 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_source": op2_warc_source,
     "op3_secret_scan": op3_secret_scan,
+    "op4_toxicity": op4_toxicity,
     "op5_token_output": op5_token_output,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_source_mixing": op7_source_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
