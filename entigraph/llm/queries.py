@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, linededup, mixing, secrets, simhash, tokens, toxicity, warc
+from . import ann, decontaminate, linededup, mixing, secrets, simhash, substrings, tokens, toxicity, warc
 from .common import documents, shared_path
 
 
@@ -54,6 +54,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(documents(spark, sf_dir), least_words=50)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), k=4, most=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -68,6 +72,7 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_source_mixing": op7_source_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
