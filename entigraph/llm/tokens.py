@@ -68,7 +68,7 @@ class Encoder:
             self.known.clear()
         if len(self.begin) > _CACHED:
             self.begin.clear()
-        missing = set(rest) - self.known.keys()
+        missing = set(rest).difference(self.known)
         if missing:
             self._learn(sorted(missing), " ", self.known)
         if head not in self.begin:
@@ -167,11 +167,16 @@ def count_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts = encoder(tokenizer), np.zeros(vocabulary, np.int64)
         for batch in batches:
+            held, size = [], 0
             for text in batch.column(0).to_pylist():
-                counts += np.bincount(enc.ids(text), minlength=vocabulary) if len(text) > 100_000 else 0
-                if len(text) <= 100_000:
-                    np.add.at(counts, enc.ids(text), 1)
-                counts[end_id] += 1
+                held.append(enc.ids(text))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=vocabulary)
+                    held, size = [], 0
+            if held:
+                counts += np.bincount(np.concatenate(held), minlength=vocabulary)
+            counts[end_id] += batch.num_rows
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
 
