@@ -35,7 +35,7 @@ from .common import shared_path, shuffle_width, text_or_empty
 
 EVERY = 64
 BLOCK_IDS = 1 << 16
-_CACHED = 400_000
+_CACHED = 800_000
 _BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<int>, bits binary, checkpoints binary"
 #: A space with white space on both sides, or at the end after white space: there a cut before the space
 #: would change how the tokenizer cuts the text.
@@ -46,23 +46,39 @@ class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
     That kind of tokenizer never joins what stands before a space with what follows it, so a text is
-    cut before its spaces and the ids of each piece, from the library, are remembered."""
+    cut before its spaces and the ids of each piece, from the library, are remembered.  New pieces are
+    encoded together, as one text; each begins at a token that begins with a space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        names = self.model.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # the byte 0x20, as this model spells it
         self.known: dict[str, bytes] = {}
         self.begin: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str], prefix: str, into: dict[str, bytes]) -> None:
-        for piece, got in zip(pieces, self.model.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False), strict=True):
-            into[piece] = np.array(got.ids, "<u4").tobytes()
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
+        for piece in pieces.difference(plain):
+            self.known[piece] = self._alone(" " + piece)
+        if plain:
+            ids = np.frombuffer(self._alone(" " + " ".join(plain)), "<u4")
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(plain):
+                raise ValueError("the tokenizer joins text across spaces")
+            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+            for piece, a, b in zip(plain, (4 * at).tolist(), ends, strict=True):
+                self.known[piece] = raw[a:b]
 
     def ids(self, text: str) -> np.ndarray:
         if _UNSAFE.search(text):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.frombuffer(self._alone(text), "<u4")
         head, *rest = text.split(" ")
         if len(self.known) > _CACHED:
             self.known.clear()
@@ -70,9 +86,9 @@ class Encoder:
             self.begin.clear()
         missing = set(rest).difference(self.known)
         if missing:
-            self._learn(sorted(missing), " ", self.known)
+            self._learn(missing)
         if head not in self.begin:
-            self._learn([head], "", self.begin)
+            self.begin[head] = self._alone(head)
         return np.frombuffer(self.begin[head] + b"".join(map(self.known.__getitem__, rest)), "<u4")
 
 
