@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, signed, staged, text_slices, window_hashes, windows
+from .common import Words, mix64, signed, staged, text_or_empty, text_slices, window_hashes, windows
 from .components import components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -99,7 +99,8 @@ def wide_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int, n_words: in
 
 
 def with_fingerprints(docs: DataFrame, k: int = 4, bits: int = 64) -> DataFrame:
-    """(doc_id, fp): fp is binary, ``bits / 8`` bytes, most significant first within each 64."""
+    """(doc_id, text_hash, fp): text_hash is xxhash64 of the text; fp is binary, ``bits / 8`` bytes, most
+    significant first within each 64."""
     n_words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +112,9 @@ def with_fingerprints(docs: DataFrame, k: int = 4, bits: int = 64) -> DataFrame:
                     fp = wide_fingerprints(data, offsets, k, n_words)
                 raw = fp.astype(">u8").tobytes()
                 width = 8 * n_words
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.xxhash64(text_or_empty())).mapInArrow(run, "doc_id long, text_hash long, fp binary")
 
 
 def layouts(bits: int, n_blocks: int, permutations: int) -> list[list[np.ndarray]]:
@@ -241,7 +242,8 @@ def _path_positions(fixed: np.ndarray, bits: int, most: int, code: int, depth: i
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4, bits: int = 64, n_blocks: int = 6, n_agree: int = 2, permutations: int = 1, bucket_most: int = 1024) -> DataFrame:
-    """(doc_id, fp binary, component_id): component_id is the smallest doc_id reachable over links.
+    """(doc_id, text_hash, fp binary, component, component_id) per row: component_id is the smallest doc_id
+    reachable over links, component a number of the group that is never null.
 
     Two fingerprints link if they differ in ``most`` bits at most.  The defaults are exhaustive: of six
     blocks, a pair that differs in four bits agrees on two."""
@@ -256,5 +258,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4, bits: int = 64,
     named = nodes.select("fp", "least", as_number("fp").alias("node")).join(comps, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
     linked = staged(named, "simhash-named")
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = linked.join(names, "component").select("fp", "component_id")
-    return rows.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = linked.join(names, "component").select("fp", "component", "component_id")
+    return rows.join(final, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: the one with the smallest doc_id (null last),
+    then the smallest text hash; of rows repeated exactly, one."""
+    groups = near_duplicates(docs, **options)
+    winner = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("w"))
+    kept = staged(winner.select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash")), "simhash-kept")
+    chosen = docs.join(kept, (F.xxhash64(text_or_empty()) == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return chosen.dropDuplicates(["_hash", "_id"]).select(*docs.columns)
