@@ -1,20 +1,20 @@
 """Token ids in a binary file format: canonical length-limited Huffman code in independent blocks.
 
-A first pass over the texts counts ids (the counts, one per id of the vocabulary, are all that reaches
-the driver) and fixes the code.  A second one range-partitions and sorts the documents by doc_id,
-encodes them and writes blocks.  A block is a row of a Parquet table, so any file system that Spark
-writes will hold it:
+Texts are tokenized once; the ids are staged in the shared folder and counted on the way (the counts,
+one per id of the vocabulary, are all that reaches the driver).  With the code fixed, documents are
+encoded where they are staged, and only their codes are range-partitioned and sorted by doc_id and
+written as blocks.  A block is a row of a Parquet table, so any file system that Spark writes will hold it:
 
     part, block       place in the global order;  first: ids in the part before this block
     doc_ids, lengths  the documents of the block, whole, and their numbers of ids
-    bits              the codes, most significant bit first
-    checkpoints       bit offset of every ``EVERY``-th id, as little-endian uint32 (uint64 when long)
+    sizes, bits       the codes of each document in whole bytes, most significant bit first, and their sizes
+    checkpoints       per document, bit offset of every ``EVERY``-th id from its start, little-endian uint32
 
 A block needs nothing but the code lengths to be read, and a reader can begin at any checkpoint: the
 decoder runs all checkpoints of a block abreast, one table look-up per id.
 
 Cases: a null text is empty; every document ends with ``end_id``; a null doc_id sorts first; repeated
-ids are in order of their texts; an empty table gives an empty file; other columns are ignored.
+ids are in order of a hash of their texts; an empty table gives an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +27,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, shuffle_width, text_or_empty
+from .common import remove, shared_path, shuffle_width, text_or_empty
 
 EVERY = 64
 BLOCK_IDS = 1 << 16
 _CACHED = 800_000
-_BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<int>, bits binary, checkpoints binary"
+_BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<int>, sizes array<int>, bits binary, checkpoints binary"
+_STAGED = "doc_ids array<long>, hashes array<long>, lengths array<int>, ids binary, counted binary, counts binary"
 #: A space with white space on both sides, or at the end after white space: there a cut before the space
 #: would change how the tokenizer cuts the text.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -61,35 +64,54 @@ class Encoder:
         self.begin: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
         plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
         for piece in pieces.difference(plain):
             self.known[piece] = self._alone(" " + piece)
-        if plain:
-            ids = np.frombuffer(self._alone(" " + " ".join(plain)), "<u4")
+        for lo in range(0, len(plain), 2000):
+            some = plain[lo : lo + 2000]
+            ids = np.frombuffer(self._alone(" " + " ".join(some)), "<u4")
             at = np.flatnonzero(self.spaced[ids])
-            if len(at) != len(plain):
+            if len(at) != len(some):
                 raise ValueError("the tokenizer joins text across spaces")
-            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-            for piece, a, b in zip(plain, (4 * at).tolist(), ends, strict=True):
-                self.known[piece] = raw[a:b]
+            raw, begins = ids.tobytes(), (4 * at).tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, begins, [*begins[1:], 4 * len(ids)])), strict=True))
 
-    def ids(self, text: str) -> np.ndarray:
-        if _UNSAFE.search(text):
-            return np.frombuffer(self._alone(text), "<u4")
-        head, *rest = text.split(" ")
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; what is new in any of them is learned at once."""
         if len(self.known) > _CACHED:
             self.known.clear()
         if len(self.begin) > _CACHED:
             self.begin.clear()
-        missing = set(rest).difference(self.known)
+        get, missing, parts = self.known.get, set(), []
+        for text in texts:
+            if _UNSAFE.search(text):
+                parts.append(None)
+                continue
+            head, *rest = text.split(" ")
+            found = list(map(get, rest))
+            if None in found:
+                missing.update([w for w, b in zip(rest, found, strict=True) if b is None])
+            parts.append((head, rest, found))
         if missing:
             self._learn(missing)
-        if head not in self.begin:
-            self.begin[head] = self._alone(head)
-        return np.frombuffer(self.begin[head] + b"".join(map(self.known.__getitem__, rest)), "<u4")
+        out = []
+        for text, part in zip(texts, parts, strict=True):
+            if part is None:
+                out.append(np.frombuffer(self._alone(text), "<u4"))
+                continue
+            head, rest, found = part
+            if head not in self.begin:
+                self.begin[head] = self._alone(head)
+            if None in found:
+                found = [self.known[w] if b is None else b for w, b in zip(rest, found, strict=True)]
+            out.append(np.frombuffer(self.begin[head] + b"".join(found), "<u4"))
+        return out
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -156,87 +178,148 @@ class Code:
             part = np.bincount(at + j, weights=((value >> (8 * (span - 1 - j))) & 255).astype(np.float64), minlength=len(out))
             out += part.astype(np.int64)
         marks = begins[::EVERY]
-        return out[: -(-total // 8)].astype(np.uint8).tobytes(), marks.astype("<u4" if total < 1 << 32 else "<u8").tobytes()
+        return out[: -(-total // 8)].astype(np.uint8).tobytes(), marks.astype("<u4").tobytes()
 
-    def decode(self, bits: bytes, checkpoints: bytes, n: int) -> np.ndarray:
-        """All ``n`` ids: the stretches between checkpoints are decoded side by side."""
-        lanes = -(-n // EVERY)
-        at = np.frombuffer(checkpoints, "<u4" if len(checkpoints) == 4 * lanes else "<u8").astype(np.int64)
+    def decode(self, bits: bytes, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The ids of stretches of at most ``EVERY`` that begin at the bits ``at`` and hold ``n`` ids each:
+        all stretches are decoded side by side."""
         span = -(-(self.bits + 7) // 8)
         raw = np.frombuffer(bits + b"\0" * (span + self.bits), np.uint8).astype(np.int64)
         words = raw[: len(bits) + self.bits].copy()
         for j in range(1, span):
             words = (words << 8) | raw[j : j + len(words)]
-        out = np.zeros((lanes, EVERY), np.int64)
+        out = np.zeros((len(at), EVERY), np.int64)
         mask, last = (1 << self.bits) - 1, len(words) - 1
-        for step in range(EVERY):
+        for step in range(int(n.max(initial=0))):
             peek = (words[np.minimum(at >> 3, last)] >> (8 * span - self.bits - (at & 7))) & mask
             found = self.table[peek]
             out[:, step] = found
             at = at + self.lengths[found]
-        return out.reshape(-1)[:n]
+        return out[np.arange(EVERY) < n[:, None]]
+
+
+def stretches(lengths: np.ndarray, sizes: np.ndarray, checkpoints: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first bit, number of ids) of every stretch of documents with so many ids, in so many bytes."""
+    lanes = -(-lengths // EVERY)
+    begin = np.repeat(8 * (np.cumsum(sizes) - sizes), lanes) + np.frombuffer(checkpoints, "<u4")
+    n = np.full(int(lanes.sum()), EVERY, np.int64)
+    n[np.cumsum(lanes)[lanes > 0] - 1] = (lengths[lanes > 0] - 1) % EVERY + 1
+    return begin.astype(np.int64), n
+
 
+def stage_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, path: str) -> None:
+    """Tokenize ``docs`` and write their ids, each with the end id, and the counts of each task.
 
-def count_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> np.ndarray:
-    """Occurrences of each id over all documents."""
+    Ids are compressed by byte planes; a row holds the documents of about ``BLOCK_IDS`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, counts = encoder(tokenizer), np.zeros(vocabulary, np.int64)
+        enc, counts, pack = encoder(tokenizer), np.zeros(vocabulary, np.int64), zstandard.ZstdCompressor(level=3)
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+        names = ["doc_ids", "hashes", "lengths", "ids", "counted", "counts"]
+        end = np.array([end_id], "<u4")
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds, strict=True)], names=names)
+
         for batch in batches:
-            held, size = [], 0
-            for text in batch.column(0).to_pylist():
-                held.append(enc.ids(text))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=vocabulary)
-                    held, size = [], 0
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=vocabulary)
-            counts[end_id] += batch.num_rows
+            lo, n = 0, batch.num_rows
+            sizes = pa.compute.binary_length(batch.column(1)).to_numpy()
+            ends = np.cumsum(sizes)
+            while lo < n:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 3 * BLOCK_IDS, "right")))
+                part = batch.slice(lo, hi - lo)
+                pieces = enc.many(part.column(1).to_pylist())
+                lengths = [len(p) + 1 for p in pieces]
+                flat = np.concatenate([x for p in pieces for x in (p, end)])
+                counts += np.bincount(flat, minlength=vocabulary)
+                yield row(part.column(0).to_pylist(), part.column(2).to_pylist(), lengths, pack.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes()), None, None)
+                lo = hi
+        used = np.flatnonzero(counts)
+        yield row([], [], [], None, used.astype("<i4").tobytes(), counts[used].astype("<i8").tobytes())
+
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
+    texts.mapInArrow(run, _STAGED).write.option("compression", "none").parquet(path)
+
+
+def count_ids(stage: DataFrame, vocabulary: int) -> np.ndarray:
+    """Occurrences of each id over all staged documents; rows are summed by Spark, one per id comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            for ids, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[np.frombuffer(ids, "<i4")] += np.frombuffer(n, "<i8")
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for row in docs.select(text_or_empty().alias("text")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row.id] = row.n
+    for r in stage.where("counts IS NOT NULL").select("counted", "counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r.id] = r.n
     return counts
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 50_257, end_id: int = 0, most_bits: int = 16) -> None:
     """Encode ``docs`` (doc_id, text) and write the blocks to ``path``/blocks and the code to ``path``/code."""
     spark = docs.sparkSession
-    lengths = code_lengths(count_ids(docs, tokenizer, vocabulary, end_id), most_bits)
+    stage_ids(docs, tokenizer, vocabulary, end_id, f"{path}/staged")
+    stage = spark.read.schema(_STAGED).parquet(f"{path}/staged")
+    lengths = code_lengths(count_ids(stage, vocabulary), most_bits)
     spark.createDataFrame([(bytearray(lengths.astype(np.uint8).tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, code, part = encoder(tokenizer), Code(lengths), TaskContext.get().partitionId()
-        block, first = 0, 0
-        doc_ids: list[int | None] = []
-        pieces: list[np.ndarray] = []
-        end = np.array([end_id], "<u4")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, unpack = Code(lengths), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in batch.to_pylist():
+                flat = np.frombuffer(unpack.decompress(row["ids"]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                ends = np.cumsum(row["lengths"])
+                both = [code.encode(flat[e - n : e]) for e, n in zip(ends.tolist(), row["lengths"], strict=True)]
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(row["lengths"], pa.int32()), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "bits", "marks"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, first = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            bits, checkpoints = code.encode(np.concatenate(pieces))
-            row = {"part": part, "block": block, "first": first, "doc_ids": doc_ids, "lengths": [len(x) for x in pieces], "bits": bits, "checkpoints": checkpoints}
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds, strict=True)], names=list(row))
+            ids, _, n, bits, marks = zip(*held, strict=True)
+            values = (part, block, first, list(ids), list(n), [len(b) for b in bits], b"".join(bits), b"".join(marks))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds, strict=True)], names=["part", "block", "first", "doc_ids", "lengths", "sizes", "bits", "checkpoints"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                pieces.append(np.concatenate([enc.ids(text), end]))
-                size += len(pieces[-1])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                size += row[2]
                 if size >= BLOCK_IDS:
                     yield flush()
-                    block, first, size = block + 1, first + size, 0
-                    doc_ids, pieces = [], []
-        if pieces:
+                    block, first, size, held = block + 1, first + size, 0, []
+        if held:
             yield flush()
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    ordered = texts.repartitionByRange(shuffle_width(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    coded = stage.where("counts IS NULL").select("doc_ids", "hashes", "lengths", "ids").mapInArrow(encode, "doc_id long, h long, n int, bits binary, marks binary")
+    ids = stage.where("counts IS NULL").select(F.explode("doc_ids").alias("doc_id"))
+    ranged = in_ranges(coded, ids, shuffle_width(docs)).sortWithinPartitions("doc_id", "h").drop("range")
+    ranged.mapInArrow(blocks, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    remove(spark, f"{path}/staged")
+
+
+def in_ranges(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``rows`` (doc_id, h, ...) dealt to ``width`` ascending ranges of (doc_id, h), null ids first.
+
+    The ends of the ranges come from a scan of ``ids`` alone, so ``rows`` are not made to find them.  An
+    id that fills several ranges is cut by h."""
+    if width > 1:
+        steps = [i / width for i in range(1, width)]
+        ends = ids.agg(F.percentile_approx("doc_id", steps, 10_000).alias("e")).first().e or []
+    else:
+        ends = []
+    bounds = F.array(*[F.lit(int(e)) for e in ends]).cast("array<long>")
+    below = F.size(F.filter(bounds, lambda e: e < F.col("doc_id")))
+    n = F.size(F.filter(bounds, lambda e: e == F.col("doc_id"))) + 1
+    place = below + F.least(F.floor((F.col("h") / float(1 << 63) / 2 + 0.5) * n), n - 1)
+    dealt = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int"))
+    return dealt.repartitionById(width, "range")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -256,7 +339,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
             for row in batch.to_pylist():
                 sizes = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(sizes)
-                ids = code.decode(row["bits"], row["checkpoints"], int(ends[-1])).astype("<u4")
+                ids = code.decode(row["bits"], *stretches(sizes, np.array(row["sizes"], np.int64), row["checkpoints"])).astype("<u4")
                 raw = memoryview(ids.tobytes())
                 starts = base[row["part"]] + row["first"] + ends - sizes
                 crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
@@ -267,7 +350,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return blocks.select("part", "first", "doc_ids", "lengths", "bits", "checkpoints").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return blocks.select("part", "first", "doc_ids", "lengths", "sizes", "bits", "checkpoints").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
