@@ -155,3 +155,40 @@ def leader_clusters(items: DataFrame, threshold: float = 0.8) -> DataFrame:
         return pd.DataFrame(out, columns=["cluster", "item"])
 
     return items.distinct().groupBy("block").applyInPandas(run, "cluster string, item string")
+
+
+def keep_best(rows: DataFrame, keys: list, score: str, order: str) -> DataFrame:
+    """Per key the row of the highest score, the first in order on ties."""
+    return keep_first(rows, keys, [F.desc(score), F.asc(order)])
+
+
+def detect_all(*found: DataFrame) -> DataFrame:
+    """Conflicts of several detectors, each (entity_id, other_id, conflict_type, score), in one table."""
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def conflicts_by_source(entities: DataFrame) -> DataFrame:
+    """(entity_text, entity_type, n_sources, n_values): one text and type from several documents whose label differs."""
+    return entities.groupBy("entity_text", "entity_type").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct("label").alias("n_values")).where("n_sources > 1 AND n_values > 1")
+
+
+def transfer_edges(edges: DataFrame, loser: str, winner: str) -> DataFrame:
+    """``edges`` with those of the loser repointed; one that the winner has already is made inactive."""
+    have = edges.where((F.col("source_entity_id") == winner) | (F.col("target_entity_id") == winner)).select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t"), F.col("relationship_type").alias("k")).distinct()
+    to = lambda c: F.when(F.col(c) == loser, F.lit(winner)).otherwise(F.col(c))
+    touched = (F.col("source_entity_id") == loser) | (F.col("target_entity_id") == loser)
+    moved = edges.withColumn("touched", touched).withColumn("ns", to("source_entity_id")).withColumn("nt", to("target_entity_id"))
+    joined = moved.join(have, (F.col("ns") == F.col("s")) & (F.col("nt") == F.col("t")) & (F.col("relationship_type") == F.col("k")), "left")
+    clash = F.col("touched") & (F.col("s").isNotNull() | (F.col("ns") == F.col("nt")))
+    return joined.withColumn("is_active", F.col("is_active") & ~clash).withColumn("source_entity_id", F.when(clash, F.col("source_entity_id")).otherwise(F.col("ns"))).withColumn("target_entity_id", F.when(clash, F.col("target_entity_id")).otherwise(F.col("nt"))).select(*edges.columns)
+
+
+def set_status(conflicts: DataFrame, condition: Column, status: str, by: str | None = None) -> DataFrame:
+    """Conflicts that meet a condition get a status, and an assignee if one is given."""
+    changed = {"status": F.when(condition, status).otherwise(F.col("status"))}
+    if by is not None:
+        changed["assigned_to"] = F.when(condition, by).otherwise(F.col("assigned_to"))
+    return conflicts.withColumns(changed)

@@ -196,11 +196,11 @@ def r06(spark, sf):
     return resolve.conflicts_of(s, ["nation"], least=0.35).withColumn("score", F.round("score", 6))
 
 
-@register("r07_new_conflicts", "SELECT o_orderkey AS entity_id, o_custkey AS other_id FROM orders WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders k WHERE k.o_orderkey % 3 = 0 AND least(k.o_orderkey, k.o_custkey) = least(orders.o_orderkey, orders.o_custkey) AND greatest(k.o_orderkey, k.o_custkey) = greatest(orders.o_orderkey, orders.o_custkey))")
+@register("r07_new_conflicts", "SELECT o_orderkey AS entity_id, o_custkey AS other_id FROM orders WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders k WHERE k.o_orderpriority = '1-URGENT' AND least(k.o_orderkey, k.o_custkey) = least(orders.o_orderkey, orders.o_custkey) AND greatest(k.o_orderkey, k.o_custkey) = greatest(orders.o_orderkey, orders.o_custkey))")
 def r07(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_custkey").alias("other_id"))
-    known = o.where("entity_id % 3 = 0").select(F.col("other_id").alias("entity_id"), F.col("entity_id").alias("other_id"))
-    return resolve.new_conflicts(o.where("entity_id % 2 = 0"), known)
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_custkey").alias("other_id"), "o_orderstatus", "o_orderpriority")
+    known = o.where("o_orderpriority = '1-URGENT'").select(F.col("other_id").alias("entity_id"), F.col("entity_id").alias("other_id"))
+    return resolve.new_conflicts(o.where("o_orderstatus = 'F'").select("entity_id", "other_id"), known)
 
 
 @register("r09_duplicates_by_mean")

@@ -218,11 +218,11 @@ def u02(spark, sf):
     return graph.both_ways(relationships(spark, sf), "id").where("own = 'n:3'").select("id", "direction")
 
 
-@register("u03_merge_lists", "SELECT o_orderkey, o_custkey, 1 AS list_no FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, 2 FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+@register("u03_merge_lists", "SELECT o_orderkey, o_custkey, 1 AS list_no FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_custkey, 2 FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def u03(spark, sf):
     o = table(spark, sf, "orders")
-    a = o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", F.lit(1).alias("list_no"))
-    b = o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", F.lit(2).alias("list_no"))
+    a = o.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", F.lit(1).alias("list_no"))
+    b = o.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", F.lit(2).alias("list_no"))
     return a.unionByName(b.join(a.select("o_custkey").distinct(), "o_custkey", "left_anti"))
 
 
@@ -234,19 +234,19 @@ def b01(spark, sf):
     return upsert.resolve_edges(edges, entities(spark, sf))
 
 
-@register("b02_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey % 4 = 0")
+@register("b02_upsert", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_mktsegment = 'BUILDING'")
 def b02(spark, sf):
     old = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    quarter = old.where("c_custkey % 4 = 0")
+    quarter = old.where("c_mktsegment = 'BUILDING'")
     new = quarter.select("c_custkey", F.lit("new").alias("c_mktsegment")).unionAll(quarter.select(F.col("c_custkey") + 10_000_000, F.lit("new")))
     return upsert.upsert(old, new, ["c_custkey"])
 
 
-@register("b06_insert_missing", "SELECT p_name, min(p_brand) AS p_brand FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name UNION ALL SELECT p_name, min(p_brand) FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0) GROUP BY p_name")
+@register("b06_insert_missing", "SELECT p_name, min(p_brand) AS p_brand FROM part WHERE p_size > 25 GROUP BY p_name UNION ALL SELECT p_name, min(p_brand) FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 25) GROUP BY p_name")
 def b06(spark, sf):
     part = table(spark, sf, "part")
     by_name = lambda d: d.groupBy("p_name").agg(F.min("p_brand").alias("p_brand"))
-    return upsert.insert_missing(by_name(part.where("p_partkey % 2 = 0")), by_name(part), ["p_name"])
+    return upsert.insert_missing(by_name(part.where("p_size > 25")), by_name(part), ["p_name"])
 
 
 @register("b08_property_merge", "SELECT c_custkey, 'x' AS a, c_mktsegment AS b, CAST(c_nationkey AS VARCHAR) AS c FROM customer")

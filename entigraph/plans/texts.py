@@ -156,10 +156,9 @@ def n01(spark, sf):
     return chunking.chunked(table(spark, sf, "documents"), chunking.pack_sentences)
 
 
-@register("n06_paragraphs", r"SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, md5(text) AS h FROM documents WHERE trim(text) <> '' AND NOT regexp_matches(text, '\n\s*\n')")
+@register("n06_paragraphs", r"SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, md5(array_to_string(p[k * 5 + 1:k * 5 + 5], chr(10) || chr(10))) AS h FROM (SELECT doc_id, p, unnest(generate_series(0, CAST(ceil(len(p) / CAST(5 AS DOUBLE)) AS BIGINT) - 1)) AS k FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x) <> '') AS p FROM documents) d) e")
 def n06(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike(r"\n\s*\n"))
-    return chunking.paragraphs(docs).select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("h"))
+    return chunking.paragraphs(table(spark, sf, "documents")).select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("h"))
 
 
 @register("n09_entity_values", r"SELECT doc_id, 'Account' AS entity_type, unnest(regexp_extract_all(text, '\b\d{10,14}\b')) AS entity_text FROM documents UNION ALL SELECT doc_id, 'Money', unnest(regexp_extract_all(text, '(?i)\b\d+(?:[.,]\d+)*\s*(?:VND|USD|EUR)\b')) FROM documents")
