@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, signed, staged, text_or_empty, text_slices, window_hashes, windows
+from .common import Words, hash_bitmap, signed, staged, text_or_empty, text_slices, window_hashes, windows
 
 SPAN = 10
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 1, 2, 5, 8, 9), (0, 2, 4, 5, 6, 9), (0, 3, 5, 6, 7, 9))
@@ -179,18 +179,12 @@ def _seed_table(rows: DataFrame, keys: list[str], bitmap: np.ndarray | None = No
     return rows.select(*keys, "text").mapInArrow(run, "h long, at int, n_words int, " + ", ".join(f"{k} {kinds[k]}" for k in keys))
 
 
-def joined_by_shuffle(docs: DataFrame, items: DataFrame, least_words: int = 10, least_identity: float = 0.8, bitmap_most: int = 8_000_000) -> DataFrame:
+def joined_by_shuffle(docs: DataFrame, items: DataFrame, least_words: int = 10, least_identity: float = 0.8) -> DataFrame:
     """The same result by joins of tables, for benchmarks of any size."""
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("d", F.xxhash64("text"))
     bench = items.withColumn("i", F.xxhash64("item_id", "text"))
     wanted = staged(_seed_table(bench, ["i"]).distinct(), "benchmark-seeds")
-    bitmap, shift = None, 0
-    if wanted.count() <= bitmap_most:  # at most 64 MB of hashes come to the driver, at most 128 MB of bitmap go out
-        hashes = np.fromiter((r.h for r in wanted.select("h").distinct().toLocalIterator()), np.int64).view(np.uint64)
-        bits = min(BITMAP_BITS, max(10, int(16 * len(hashes) + 1).bit_length()))
-        shift = 64 - bits
-        bitmap = np.zeros(1 << bits, bool)
-        bitmap[(hashes >> np.uint64(shift)).astype(np.int64)] = True
+    bitmap, shift = hash_bitmap(wanted.select("h").distinct(), "h", BITMAP_BITS)
     short = tuple(sorted(r.n_words for r in wanted.where(F.col("n_words") < SPAN).select("n_words").distinct().collect()))
     there = _seed_table(texts, ["doc_id", "d"], bitmap, shift, short).select("h", "doc_id", "d", F.col("at").alias("doc_at"))
     pairs = there.join(wanted.select("h", "i", "at"), "h").select("doc_id", "d", "i", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
