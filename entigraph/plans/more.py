@@ -109,10 +109,10 @@ def g16(spark, sf):
     return e.agg(F.count("*").alias("n")).join(agg.recent(e, "ts", AS_OF, 1).agg(F.count("*").alias("n_last_day")), F.lit(True))
 
 
-@register("g17_running_statistics", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 4) AS running_mean FROM events")
+@register("g17_running_statistics", "SELECT event_id, count(*) OVER w AS running_count, round(sum(value) OVER w, 2) AS running_total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def g17(spark, sf):
     upto = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(upto), 4).alias("running_mean"))
+    return table(spark, sf, "events").select("event_id", F.count("*").over(upto).alias("running_count"), F.round(F.sum("value").over(upto), 2).alias("running_total"))
 
 
 @register("g19_class_distribution", "SELECT p_type AS class_uri, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY 1")
