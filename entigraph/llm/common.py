@@ -69,16 +69,6 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def one_row_a_partition_guard(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Pass batches on, and an empty one when there were none."""
-    any_batch = False
-    for batch in batches:
-        any_batch = True
-        yield batch
-    if not any_batch:
-        yield pa.RecordBatch.from_pylist([], schema=schema)
-
-
 # ---------------------------------------------------------------------------------------------
 # Words.  A word is a maximal run of bytes other than space and \t \n \v \f \r; all of those are
 # single bytes in UTF-8, so cutting bytes equals cutting characters.
@@ -174,11 +164,6 @@ def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int
         lo = hi
 
 
-def runs_of(doc_from: np.ndarray) -> np.ndarray:
-    """For flat words, the index of the document of each."""
-    return np.repeat(np.arange(len(doc_from) - 1), np.diff(doc_from))
-
-
 def windows(doc_from: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, document) of every window of ``k`` words that lies in one document."""
     n = np.maximum(np.diff(doc_from) - k + 1, 0)
