@@ -23,7 +23,7 @@ def test_pieces_give_the_ids_of_whole_texts():
 
     whole, enc = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokens.encoder(P.path("byte_bpe_50k.json"))
     rng = random.Random(1)
-    parts = [" ", "  ", "   ", "\n", "\n\n", "\t", " ", "a", "Word", "'s", "don't", "12", "3", "!", "...", "é", "日本", "<|endoftext|>", "　", "😀", "\r\n", "\x1c"]
+    parts = [" ", "  ", "   ", "\n", "\n\n", "\t", " ", "a", "Word", "'s", "don't", "12", "3", "!", "...", "é", "日本", "<|endoftext|>", "　", "😀", "\r\n", "\x1c", ",", "ab,", "é.", "x?!", "it's;"]
     for _ in range(4000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
         assert enc.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
