@@ -206,3 +206,20 @@ def hash_bitmap(hashes: DataFrame, column: str, most_bits: int = 27) -> tuple[np
     for r in rows:
         flags[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
     return np.unpackbits(flags, bitorder="little").astype(bool), 64 - bits
+
+
+def longest_alike(equal: np.ndarray, share: float, ends: bool = False) -> tuple[int, int]:
+    """(begin, end) of the longest stretch with at least ``share`` of its places equal, (0, 0) if none.
+
+    With ``ends`` its first and last places are equal."""
+    if not equal.any():
+        return 0, 0
+    total = np.concatenate([[0.0], np.cumsum(equal - share)])
+    opens, closes = total[:-1].copy(), total[1:].copy()
+    if ends:
+        opens[~equal], closes[~equal] = np.inf, -np.inf
+    # the first place from which the sum up to an end is not below 0: lowest sums so far only fall
+    begin = np.searchsorted(-np.minimum.accumulate(opens), -closes - 1e-9, "left")
+    length = np.arange(1, len(equal) + 1) - begin
+    end = int(np.argmax(length))
+    return (int(begin[end]), end + 1) if length[end] > 0 else (0, 0)
