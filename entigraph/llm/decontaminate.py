@@ -3,7 +3,8 @@
 Fixed masks pick six of ten consecutive words and ignore the rest, so a window still hashes the same
 after substitutions in the ignored places.  Hashes of the benchmark's windows and of the documents'
 windows are joined, and around each hit the two word sequences are compared on the hit's diagonal: the
-best-scoring stretch counts if it has enough equal words and a high enough share of them.
+best-scoring stretch counts if it has enough equal words and a high enough share of them, or else the
+longest stretch with that share, if it has enough equal words.
 
 A benchmark of up to ``broadcast_words`` words (counted first) is sent to the executors, where each
 document is joined and verified as it is read; nothing is shuffled.  A larger one is joined as tables,
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hash_bitmap, signed, staged, text_or_empty, text_slices, window_hashes, windows
+from .common import Words, hash_bitmap, longest_alike, signed, staged, text_or_empty, text_slices, window_hashes, windows
 
 SPAN = 10
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 1, 2, 5, 8, 9), (0, 2, 4, 5, 6, 9), (0, 3, 5, 6, 7, 9))
@@ -105,9 +106,15 @@ def verify(doc: np.ndarray, item: np.ndarray, diagonal: int, least_words: int, l
     lo, hi = max(diagonal, 0), min(diagonal + len(item), len(doc))
     if hi <= lo:
         return None
-    begin, end, matched = best_stretch(doc[lo:hi] == item[lo - diagonal : hi - diagonal])
+    equal = doc[lo:hi] == item[lo - diagonal : hi - diagonal]
+    begin, end, matched = best_stretch(equal)
     if matched < min(least_words, len(item)) or matched < least_identity * (end - begin):
-        return None
+        # any stretch that counts can be widened while the share allows, so the longest one counts as well
+        begin, end = longest_alike(equal, least_identity)
+        matched = int(equal[begin:end].sum())
+        if not matched or matched < min(least_words, len(item)):
+            return None
+        begin, end = begin + int(np.argmax(equal[begin:end])), end - int(np.argmax(equal[begin:end][::-1]))
     return lo + begin, lo + end, matched, matched / (end - begin)
 
 

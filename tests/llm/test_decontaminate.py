@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from entigraph.llm import decontaminate as dc
 
 SCHEMA = "doc_id long, text string, item_id int, h int"
@@ -66,6 +68,24 @@ def test_both_joins_equal_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_verify_finds_any_stretch_that_counts():
+    """Ten equal words and 80 %, in any stretch of the diagonal."""
+    rng = np.random.default_rng(1)
+    tail = ([0, 1, 1, 1, 0, 1, 1]) * 6
+    cases = [np.array([1] * 12 + tail, bool)] + [rng.random(rng.integers(10, 60)) < rng.choice([0.6, 0.75, 0.85]) for _ in range(300)]
+    for equal in cases:
+        n = len(equal)
+        item = np.arange(n)
+        total = np.concatenate([[0], np.cumsum(equal)])
+        want = any(total[e] - total[b] >= max(10, 0.8 * (e - b)) for b in range(n) for e in range(b + 1, n + 1))
+        found = dc.verify(np.where(equal, item, -1), item, 0, 10, 0.8)
+        assert (found is not None) == want
+        if found:
+            begin, end, matched, identity = found
+            assert matched == equal[begin:end].sum() >= 10 and identity == matched / (end - begin) >= 0.8
+    assert dc.verify(np.where(cases[0], np.arange(54), -1), np.arange(54), 0, 10, 0.8)
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], BENCH)
     some = spark.createDataFrame([(1, "a b c", 1, 1)], SCHEMA)
