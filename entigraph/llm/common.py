@@ -19,14 +19,16 @@ _OWN: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder of our own is set.
-    """
+    Where the session names none, a local master gets a temporary folder of our own; a cluster, whose
+    executors would not see it, gets an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     set_by_user = spark.sparkContext.getCheckpointDir()
     if set_by_user:
         return set_by_user
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="entigraph-")
     _OWN.append(own)
     spark.sparkContext.setCheckpointDir(own)
@@ -39,8 +41,18 @@ def _remove_own() -> None:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/entigraph-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application staged.  Results that were not yet written out can no longer be read."""
+    remove(spark, _own_root(spark))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -109,33 +121,61 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes that are looked at together; a longer word is looked at whole.
+_PIECE = 1 << 20
+
+
 class Words:
     """The words of a run of documents, lower-cased in A-Z, as flat arrays.
 
     ``hashes``: a 64-bit hash per word.  ``doc_from``: for document i the words
     ``doc_from[i]:doc_from[i + 1]``.  ``starts``/``ends``: byte spans in ``data``.
-    """
+
+    Long runs are worked through in pieces that end between words, so what is held beside the text and
+    three numbers a word does not grow with it."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True):
         self.data = _LOWER[data] if lower else data
-        word = _WORD_BYTE[data]
-        first = word.copy()
-        last = word.copy()
-        if len(word):
-            same_doc = np.ones(len(word), bool)
-            inner = offsets[(offsets > 0) & (offsets < len(word))]
-            same_doc[inner] = False
-            first[1:] &= ~(word[:-1] & same_doc[1:])
-            last[:-1] &= ~(word[1:] & same_doc[1:])
-        self.word = word
-        self.starts = np.flatnonzero(first)
-        self.ends = np.flatnonzero(last) + 1
+        self.word = _WORD_BYTE[data]
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        lo = 0
+        while lo < len(data):
+            hi = self._piece_end(lo, offsets)
+            parts.append(self._piece(lo, hi, offsets, hashed))
+            lo = hi
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.starts, self.ends, hashes = (np.concatenate([p[j] for p in parts] or [none[j]]) for j in range(3))
         self.doc_from = np.searchsorted(self.starts, offsets)
         if hashed:
-            up, down = _Powers.of(len(data) + 1)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
-            self.hashes = mix64((total[self.ends] - total[self.starts]) * down[self.starts])
+            self.hashes = hashes
+
+    def _piece_end(self, lo: int, offsets: np.ndarray) -> int:
+        """The first place ``_PIECE`` bytes on or later where no word goes on."""
+        at = lo + _PIECE
+        while at < len(self.word):
+            gap = np.flatnonzero(~self.word[at : at + _PIECE])
+            if len(gap):
+                at += int(gap[0])
+                break
+            at += _PIECE
+        end = int(np.searchsorted(offsets, lo + _PIECE))
+        return min(at, len(self.word), int(offsets[end]) if end < len(offsets) else len(self.word))
+
+    def _piece(self, lo: int, hi: int, offsets: np.ndarray, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        word = self.word[lo:hi]
+        first, last = word.copy(), word.copy()
+        same_doc = np.ones(len(word), bool)
+        same_doc[offsets[(offsets > lo) & (offsets < hi)] - lo] = False
+        first[1:] &= ~(word[:-1] & same_doc[1:])
+        last[:-1] &= ~(word[1:] & same_doc[1:])
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        hashes = np.zeros(0, np.uint64)
+        if hashed:
+            up, down = _Powers.of(len(word) + 1)
+            total = np.zeros(len(word) + 1, np.uint64)
+            np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: len(word)], dtype=np.uint64, out=total[1:])
+            hashes = mix64((total[ends] - total[starts]) * down[starts])
+        return starts + lo, ends + lo, hashes
 
     def counts(self) -> np.ndarray:
         return np.diff(self.doc_from)

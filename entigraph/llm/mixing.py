@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets the key ``-ln(u) / w``: ``u`` is a hash of its id and text, ``w`` its quality weight.
+Each document gets the key ``-ln(u) / w``: ``u`` is a hash of its row, ``w`` its quality weight.
 In order of that key, a source is a weighted random order of its documents.  A source that is due more
 than its own size gives complete epochs first, every document once per epoch; what remains is a budget
 that is filled in key order.
 
 No source is sorted.  Keys are integers; sizes are summed per source over 1024 equal ranges of keys,
-and only the range in which a source's budget ends is looked at again, in 1024 smaller ranges, until few
-rows are left in it.  Those are filled greedily: in key order, each document that still fits.  So a
-source with a third of all rows costs grouped sums and one small group.
-
-Cases: a null or blank text has size 0 and is never short of room; a null source is a source of its own,
-last; rows repeated exactly share a key and are taken or left together; a null doc_id hashes as null;
-an empty table gives an empty result; other columns are kept aside.
+and only the range in which a source's budget ends, with those that follow it, is looked at again in 1024
+smaller ranges, until it holds ``gather_most`` rows or fewer.  Those are filled: in key order, each
+document that still fits.  So a source with a third of all rows costs grouped sums and one small group,
+and it misses its target by less than the smallest document among up to ``FILL_MOST`` that follow the
+place where its budget ends.  Targets are dealt in one task over one row per source (a name, and sums).
+
+Cases: a null or blank text has size 0, is never short of room and is taken ``most_epochs`` times at
+most; a null source is a source of its own, last; rows repeated exactly share a key, and as many of them
+as fit are taken; a null doc_id hashes as null; an empty table gives an empty result; other columns are
+part of the row's hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,9 +46,9 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.greatest(share * share, F.lit(0.25)), F.lit(0.25))
 
 
-def sampling_key(doc_id: Column, text: Column, weight: Column) -> Column:
-    """-ln(u) / w, mapped in order to whole numbers from 0 to 2**60."""
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, text), 11) + 0.5) / float(1 << 53)
+def sampling_key(row: list[Column], weight: Column) -> Column:
+    """-ln(u) / w, mapped in order to whole numbers from 0 to 2**60; ``u`` is a hash of all of ``row``."""
+    u = (F.shiftrightunsigned(F.xxhash64(*row), 11) + 0.5) / float(1 << 53)
     key = -F.log(u) / weight
     return F.floor((F.lit(1.0) - F.exp(-key)) * float(_TOP)).cast("long")
 
@@ -76,75 +80,100 @@ def targets(sizes: DataFrame, share: float = 1.5, most_epochs: float = 2.0, weig
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per source: in key order, take each group of equal rows that still fits; then the smallest group
-    left if it overshoots by less than what is missing."""
+    """Per source: in key order, take as many of each group of equal rows as still fit; then one more row
+    of the smallest size left, if it overshoots by less than what is missing."""
     for batch in batches:
-        out: dict[str, list] = {"source": [], "key": []}
+        out: list[tuple] = []
         for row in batch.to_pylist():
-            room = row["room"]
-            left = []
+            room, taken, least = row["room"], {}, None
             for item in sorted(row["items"], key=lambda x: x["key"]):
-                need = item["size"] * item["n"]
-                if need <= room:
-                    room -= need
-                    out["source"].append(row["source"])
-                    out["key"].append(item["key"])
-                elif need:
-                    left.append((need, item["key"]))
-            if left and min(left)[0] - room < room:
-                out["source"].append(row["source"])
-                out["key"].append(min(left)[1])
-        yield pa.RecordBatch.from_arrays([pa.array(out["source"], pa.string()), pa.array(out["key"], pa.int64())], names=["source", "key"])
-
-
-def _mixed(docs: DataFrame, share: float, most_epochs: float, weights: tuple[float, ...], gather_most: int) -> DataFrame:
+                n = item["n"] if not item["size"] else min(item["n"], int(room // item["size"]))
+                room -= n * item["size"]
+                taken[item["key"]] = n
+                if n < item["n"] and (least is None or item["size"] < least["size"]):
+                    least = item
+            if least and least["size"] - room < room:
+                taken[least["key"]] += 1
+            out += [(row["source"], item["key"], taken[item["key"]], item["n"]) for item in row["items"] if taken[item["key"]]]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=["ps", "pk", "m", "n"])
+
+
+#: Rows after the place where a budget ends that may still fill it.
+FILL_MOST = 1024
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, gather_most: int) -> DataFrame:
+    """``state`` with the range in which each large source's room ends.  Once that holds few rows (or one
+    key), the ranges after it are added that hold at most ``FILL_MOST`` rows with it, and n is 0."""
+    width = F.greatest(F.ceil((F.col("high") - F.col("low")) / RANGES), F.lit(1)).cast("long")
+    large = state.where((F.col("n") > gather_most) & (F.col("high") - F.col("low") > 1))
+    ends = large.select(F.col("source").alias("s"), "low", "high", "room", width.alias("width"))
+    inside = rows.join(ends, rows.source.eqNullSafe(ends.s) & (F.col("key") >= F.col("low")) & (F.col("key") < F.col("high")))
+    ranges = inside.groupBy("source", "low", "width", "room", F.expr("(key - low) div width").alias("range")).agg(F.sum("size").alias("held"), F.count("*").alias("rows"))
+    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranges.withColumn("ends_at", F.sum("held").over(upto)).withColumn("rows_to", F.sum("rows").over(upto))
+    whole = Window.partitionBy("source")
+    first = F.min(F.when(F.col("ends_at") > F.col("room"), F.struct("range", (F.col("ends_at") - F.col("held")).alias("before"), (F.col("rows_to") - F.col("rows")).alias("rows_before"), "rows"))).over(whole)
+    after = summed.withColumn("first", first).where(F.col("first").isNotNull() & (F.col("range") >= F.col("first.range")))
+    done = (F.col("first.rows") <= gather_most) | (F.col("width") == 1)
+    fit = after.where((F.col("range") == F.col("first.range")) | done & (F.col("rows_to") - F.col("first.rows_before") <= FILL_MOST))
+    cut = fit.groupBy("source").agg(F.first("first").alias("f"), F.first("low").alias("c_low"), F.first("width").alias("width"), F.max("range").alias("last"), F.max(F.when(done, 0).otherwise(F.col("first.rows"))).alias("c_n")).withColumnRenamed("source", "cs")
+    joined = state.join(cut, state.source.eqNullSafe(cut.cs), "left")
+    narrow, is_large = F.col("f").isNotNull(), (F.col("n") > gather_most) & (F.col("high") - F.col("low") > 1)
+    low = F.when(narrow, F.col("c_low") + F.col("f.range") * F.col("width")).when(is_large, F.col("high")).otherwise(F.col("low"))
+    high = F.when(narrow, F.col("c_low") + (F.col("last") + 1) * F.col("width")).otherwise(F.col("high"))
+    n = F.when(narrow, F.col("c_n")).when(is_large, 0).otherwise(F.col("n"))  # a large source whose room never ends is taken whole
+    return joined.select("source", "source_size", "target", "epochs", (F.col("room") - F.coalesce("f.before", F.lit(0))).alias("room"), low.alias("low"), high.alias("high"), n.cast("long").alias("n"))
+
+
+def _mixed(docs: DataFrame, share: float, most_epochs: float, weights: tuple[float, ...], gather_most: int, weight: Column | None) -> DataFrame:
     """(row, size, source_size, target, copies): ``row`` holds the columns of ``docs``."""
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"), F.col("source").cast("string").alias("source"))
-    sized = packed.select("row", "source", words(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), F.col("text"), quality(F.col("text"))).alias("mix_key"))
+    flat = [F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("map", "struct", "array") else F.col(f"`{f.name}`") for f in docs.schema]
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"), F.col("source").cast("string").alias("source"), F.xxhash64(*flat).alias("hash"), (quality(F.col("text")) if weight is None else weight).cast("double").alias("weight"))
+    sized = packed.select("row", "source", words(F.col("text")).alias("size"), sampling_key([F.col("hash")], F.col("weight")).alias("mix_key"))
     rows = staged(sized.select("source", F.col("mix_key").alias("key"), "size"), "mix-rows")
-    sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
-    goal = targets(sizes, share, most_epochs, weights)
+    sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sizes")
+    goal = targets(sizes, share, most_epochs, weights).join(sizes.select(F.col("source").alias("ns"), "n"), F.col("source").eqNullSafe(F.col("ns"))).drop("ns")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0).cast("long")
     state = goal.withColumn("epochs", epochs).withColumn("room", F.col("target") - F.col("epochs") * F.col("source_size"))
     # low: keys below are taken; [low, high): still open
     state = staged(state.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(_TOP + RANGES).cast("long")), "mix-state")
-    for _ in range(8):
-        width = F.greatest(F.ceil((F.col("high") - F.col("low")) / RANGES), F.lit(1)).cast("long")
-        ends = state.select(F.col("source").alias("s"), "low", "high", "room", width.alias("width"))
-        open_rows = rows.join(ends, rows.source.eqNullSafe(ends.s) & (F.col("key") >= F.col("low")) & (F.col("key") < F.col("high")))
-        ranges = open_rows.groupBy("source", "low", "width", "room", F.expr("(key - low) div width").alias("range")).agg(F.sum("size").alias("held"), F.count("*").alias("n"))
-        upto = Window.partitionBy("source").orderBy("range")
-        summed = ranges.withColumn("before", F.coalesce(F.sum("held").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        crossing = summed.where(F.col("before") + F.col("held") > F.col("room")).groupBy("source").agg(F.min_by(F.struct("range", "low", "width", "before", "n"), "range").alias("c"))
-        cut = crossing.select(F.col("source").alias("cs"), "c.*").withColumnRenamed("low", "c_low")
-        joined = state.join(cut, state.source.eqNullSafe(cut.cs), "left")
-        new_low = F.coalesce(F.col("c_low") + F.col("range") * F.col("width"), F.col("high"))
-        new_high = F.coalesce(F.col("c_low") + (F.col("range") + 1) * F.col("width"), F.col("high"))
-        state = staged(joined.select("source", "source_size", "target", "epochs", (F.col("room") - F.coalesce("before", F.lit(0))).alias("room"), new_low.alias("low"), new_high.alias("high"), F.coalesce("n", F.lit(0)).alias("n")), "mix-state")
-        if state.where((F.col("n") > gather_most) & (F.col("high") - F.col("low") > 1)).isEmpty():
-            break
+    while not state.where((F.col("n") > gather_most) & (F.col("high") - F.col("low") > 1)).isEmpty():  # six rounds at most: ranges are 1/1024 of the last
+        state = staged(_narrowed(rows, state, gather_most), "mix-state")
     last = state.select(F.col("source").alias("s"), "low", "high", "room")
     inside = rows.join(last, rows.source.eqNullSafe(last.s) & (F.col("key") >= F.col("low")) & (F.col("key") < F.col("high")))
     groups = inside.groupBy("source", "room", "key").agg(F.max("size").alias("size"), F.count("*").alias("n"))
-    chosen = groups.groupBy("source", "room").agg(F.collect_list(F.struct("key", "size", "n")).alias("items")).mapInArrow(_fill, "source string, key long")
-    picked = staged(chosen.select(F.col("source").alias("ps"), F.col("key").alias("pk")), "mix-picked")
+    chosen = groups.groupBy("source", "room").agg(F.collect_list(F.struct("key", "size", "n")).alias("items")).mapInArrow(_fill, "ps string, pk long, m long, n long")
+    picked = staged(chosen, "mix-picked")
     ends = state.select(F.col("source").alias("s"), "source_size", "target", "epochs", "low")
     out = sized.join(ends, F.col("source").eqNullSafe(F.col("s"))).join(picked, F.col("source").eqNullSafe(F.col("ps")) & (F.col("mix_key") == F.col("pk")), "left")
-    copies = F.col("epochs") + ((F.col("mix_key") < F.col("low")) | F.col("pk").isNotNull()).cast("long")
-    return out.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
-
-
-def mix(docs: DataFrame, share: float = 1.5, most_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, gather_most: int = 1024) -> DataFrame:
+    extra = ((F.col("mix_key") < F.col("low")) | F.col("pk").isNotNull()).cast("long")
+    # a row without words weighs nothing, so no target bounds how often it is taken
+    copies = F.when(F.col("size") == 0, F.least(F.col("epochs") + extra, F.lit(math.ceil(most_epochs)))).otherwise(F.col("epochs") + extra)
+    out = out.withColumn("copies", copies.cast("long"))
+    columns = ["row", "size", "source_size", "target", "copies"]
+    if picked.where("m < n").isEmpty():
+        return out.select(columns)
+    # rows of one key are equal in all columns: they are counted, and the first m of them are taken
+    split = F.col("pk").isNotNull() & (F.col("m") < F.col("n"))
+    counted = out.where(split).groupBy("source", "mix_key", "size", "source_size", "target", "epochs", "m").agg(F.first("row").alias("row"), F.count("*").alias("count"))
+    numbered = counted.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).withColumn("copies", F.col("epochs") + (F.col("i") <= F.col("m")).cast("long"))
+    return out.where(~split | split.isNull()).select(columns).unionAll(numbered.select(columns))
+
+
+def mix(docs: DataFrame, share: float = 1.5, most_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, gather_most: int = 1024, weight: Column | None = None) -> DataFrame:
     """``docs`` with size, source_size, target, taken and copies (how often the mix takes the row).
 
+    ``weight``: a column of ``docs`` above 0, the quality weight of a row; else it comes from the text.
     Columns of ``docs`` with one of those names are replaced."""
     added = ("size", "source_size", "target", "taken", "copies")
-    mixed = _mixed(docs, share, most_epochs, weights, gather_most)
+    mixed = _mixed(docs, share, most_epochs, weights, gather_most, weight)
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added]
     return mixed.select(*kept, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, share: float = 1.5, most_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, gather_most: int = 1024) -> DataFrame:
+def mixed_documents(docs: DataFrame, share: float = 1.5, most_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, gather_most: int = 1024, weight: Column | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    mixed = _mixed(docs, share, most_epochs, weights, gather_most).where("copies > 0")
+    mixed = _mixed(docs, share, most_epochs, weights, gather_most, weight).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])

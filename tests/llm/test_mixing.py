@@ -66,5 +66,27 @@ def test_heavy_documents_come_later(spark):
     assert good > 1.5 * sum(r.copies for r in got if not r.doc_id % 2)
 
 
+def test_repeated_rows_meet_the_target(spark):
+    """A source of 40 equal rows is due half of them once more; of a source whose budget ends at a long
+    document, small ones that come later fill the rest."""
+    rows = [(7, "same", "w " * 10, 0, 0, 0)] * 40 + [(100 + i, "big", "v " * (3000 if i % 10 == 0 else 30), 0, 0, 0) for i in range(300)]
+    for most in (1024, 2):
+        got = mixing.mix(spark.createDataFrame(rows, SCHEMA), gather_most=most).collect()
+        assert len(got) == len(rows)
+        for s, smallest in (("same", 10), ("big", 30)):
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= smallest
+        assert {r.copies for r in got if r.source == "same"} <= {0, 1, 2}
+
+
+def test_only_repeated_rows(spark):
+    """40 rows of 10 words beside a source of 0 words: a target of 600 is met by 20 second copies."""
+    rows = [(7, "same", "w " * 10, 0, 0, 0)] * 40 + [(8, "none", None, 0, 0, 0)] * 3
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.copies for r in got if r.source == "same") == [1] * 20 + [2] * 20
+    assert all(r.copies <= 2 for r in got) and sum(r.taken for r in got) == 600
+    assert mixing.mixed_documents(spark.createDataFrame(rows, SCHEMA)).where("source = 'same'").count() == 60
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
