@@ -233,19 +233,26 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def hash_bitmap(hashes: DataFrame, column: str, most_bits: int = 27) -> tuple[np.ndarray, int]:
-    """(flags, shift): flag ``h >>> shift`` is set for each hash h of a long column.
+def hash_bits(hashes: DataFrame, column: str, most_bits: int = 27) -> tuple[np.ndarray, int]:
+    """(packed flags, shift): flag ``h >>> shift``, lowest bit of a byte first, is set for each hash h of a
+    long column.
 
     Built by Spark as bitmaps of 4 KB, of which at most 2**most_bits / 32768 come back (16 MB), however
     many hashes there are; with more hashes more flags are set, and none is ever missing."""
     n = hashes.count()
-    bits = min(most_bits, max(15, (16 * n + 1).bit_length()))
+    bits = min(most_bits, max(15, (128 * n + 1).bit_length()))
     place = F.shiftrightunsigned(F.col(column), 64 - bits) + 1
     rows = hashes.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
     flags = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
         flags[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    return np.unpackbits(flags, bitorder="little").astype(bool), 64 - bits
+    return flags, 64 - bits
+
+
+def flagged(flags: np.ndarray, shift: int, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` (unsigned) have their flag set."""
+    place = (hashes >> np.uint64(shift)).astype(np.int64)
+    return (flags[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def longest_alike(equal: np.ndarray, share: float, ends: bool = False) -> tuple[int, int]:

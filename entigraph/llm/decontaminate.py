@@ -2,19 +2,22 @@
 
 Fixed masks pick six of ten consecutive words and ignore the rest, so a window still hashes the same
 after substitutions in the ignored places.  Hashes of the benchmark's windows and of the documents'
-windows are joined, and around each hit the two word sequences are compared on the hit's diagonal: the
-best-scoring stretch counts if it has enough equal words and a high enough share of them, or else the
-longest stretch with that share, if it has enough equal words.
+windows are joined, each hash once per text, which gives pairs of a document and an item.  For each pair
+the two word sequences are compared on every diagonal that a common seed names: the best-scoring stretch
+counts if it has enough equal words and a high enough share of them, or else the longest stretch with
+that share, if it has enough equal words.
 
-A benchmark of up to ``broadcast_words`` words (counted first) is sent to the executors, where each
-document is joined and verified as it is read; nothing is shuffled.  A larger one is joined as tables,
-the documents' hashes thinned by a bitmap of the benchmark's hashes whose size is fixed.
+There is one way for benchmarks of any size: a bitmap of fixed size thins the documents' hashes where
+they are made, and Spark decides from the measured sizes what it broadcasts.  A seed that is frequent in
+a text, or in an item, is joined once and not once per place; the places are looked up per pair, in
+arrays whose size is the length of the document.
 
 Words are maximal runs without white space, lower-cased in A-Z.  Items with fewer words than a mask
 spans are hashed whole and must occur word for word.
 
 Cases: null or blank texts on either side match nothing; a null doc_id or item_id stays null in the
-result; repeated rows are reported each; an item repeated in the benchmark is reported for each id;
+result; repeated rows are reported each; an item that the benchmark repeats is one item, and other texts
+under the same id are items of their own; of overlaps with as many equal words the first is reported;
 empty tables give an empty result; other columns are ignored.
 """
 
@@ -27,69 +30,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hash_bitmap, longest_alike, signed, staged, text_or_empty, text_slices, window_hashes, windows
+from .common import Words, flagged, hash_bits, longest_alike, signed, staged, text_or_empty, text_slices, window_hashes, windows
 
 SPAN = 10
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 1, 2, 5, 8, 9), (0, 2, 4, 5, 6, 9), (0, 3, 5, 6, 7, 9))
-#: Of a table of 2**BITMAP_BITS bits, at most; thinning by hash never loses a hit.
-BITMAP_BITS = 27
+#: Windows whose hashes are held at once.
+_HELD = 1 << 18
 _RESULT = "doc_id long, item_id long, text_hash long, doc_start int, doc_end int, matched int, identity double"
 
 
-def seeds_of(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, first words, documents) for each mask, then for whole short texts by their length."""
-    begin, doc = windows(words.doc_from, SPAN)
-    for salt, mask in enumerate(MASKS):
-        yield window_hashes(words.hashes, begin, SPAN, mask, salt + 1), begin, doc
-
-
-class Benchmark:
-    """Seeds and words of a benchmark, to search documents for."""
-
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
-        self.ids = ids
-        self.items: list[np.ndarray] = []
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.short: dict[int, list[int]] = {}
-        for lo, _, data, offsets in text_slices(pa.array(texts, pa.string())):
-            words = Words(data, offsets)
-            for i in range(len(offsets) - 1):
-                own = words.hashes[words.doc_from[i] : words.doc_from[i + 1]]
-                self.items.append(own)
-                if 0 < len(own) < SPAN:
-                    self.short.setdefault(len(own), []).append(lo + i)
-            found += [(h, b - words.doc_from[d], d + lo) for h, b, d in seeds_of(words)]
-        self._index(found)
-        self.short_hashes = {k: np.array([window_hashes(self.items[i], np.zeros(1, np.int64), k)[0] for i in which], np.uint64) for k, which in self.short.items()}
-
-    def _index(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        hashes, at, item = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at, self.item = hashes[order].astype(np.uint64), at[order], item[order]
-        bits = min(BITMAP_BITS, max(10, int(16 * len(hashes) + 1).bit_length()))
-        self.shift = np.uint64(64 - bits)
-        self.bitmap = np.zeros(1 << bits, bool)
-        self.bitmap[(self.hashes >> self.shift).astype(np.int64)] = True
-
-    def hits(self, words: Words) -> np.ndarray:
-        """Distinct rows (document, item, diagonal): the item's first word lies at that word of the document."""
-        out = []
-        for hashes, begin, doc in seeds_of(words):
-            maybe = np.flatnonzero(self.bitmap[(hashes >> self.shift).astype(np.int64)])
-            if not len(maybe):
-                continue
-            lo = np.searchsorted(self.hashes, hashes[maybe], "left")
-            n = np.searchsorted(self.hashes, hashes[maybe], "right") - lo
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            rows = np.repeat(maybe, n)
-            out.append(np.stack([doc[rows], self.item[at], begin[rows] - words.doc_from[doc[rows]] - self.at[at]], axis=1))
-        for k, which in self.short.items():
-            begin, doc = windows(words.doc_from, k)
-            hashes = window_hashes(words.hashes, begin, k)
-            for i, h in zip(which, self.short_hashes[k], strict=True):
-                rows = np.flatnonzero(hashes == h)
-                out.append(np.stack([doc[rows], np.full(len(rows), i), begin[rows] - words.doc_from[doc[rows]]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+def seeds_of(words: Words, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, first words, documents): for each mask, and of all windows of the lengths ``short``."""
+    for k in (SPAN, *short):
+        begin, doc = windows(words.doc_from, k)
+        for lo in range(0, len(begin), _HELD):
+            b, d = begin[lo : lo + _HELD], doc[lo : lo + _HELD]
+            if k < SPAN:
+                yield window_hashes(words.hashes, b, k), b, d
+            else:
+                for salt, mask in enumerate(MASKS):
+                    yield window_hashes(words.hashes, b, SPAN, mask, salt + 1), b, d
+
+
+class Seeds:
+    """The seeds of one text, sorted, with their places."""
+
+    def __init__(self, hashes: np.ndarray, short: tuple[int, ...]):
+        self.words = hashes
+        words = _Lone(hashes)
+        parts = [(h, b) for h, b, _ in seeds_of(words, short)]
+        h = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
+        at = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.at = h[order], at[order]
+
+
+class _Lone:
+    """Words of one text, as ``seeds_of`` takes them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.doc_from = hashes, np.array([0, len(hashes)])
+
+
+def diagonals(doc: Seeds, item: Seeds) -> np.ndarray:
+    """Distinct diagonals with a common seed: the item's first word lies at that word of the document."""
+    lo, hi = np.searchsorted(doc.hashes, item.hashes, "left"), np.searchsorted(doc.hashes, item.hashes, "right")
+    m = len(item.words)
+    seen = np.zeros(len(doc.words) + m, bool)
+    for j in np.flatnonzero(hi > lo).tolist():
+        seen[doc.at[lo[j] : hi[j]] - item.at[j] + m] = True
+    return np.flatnonzero(seen) - m
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -118,110 +108,103 @@ def verify(doc: np.ndarray, item: np.ndarray, diagonal: int, least_words: int, l
     return lo + begin, lo + end, matched, matched / (end - begin)
 
 
-def _better(new: tuple, old: tuple | None) -> bool:
-    return old is None or (new[2], -new[0]) > (old[2], -old[0])
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-    names = ["doc_id", "item_id", "text_hash", "doc_start", "doc_end", "matched", "identity"]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_identity: float = 0.8, broadcast_words: int = 5_000_000) -> DataFrame:
+def longest_overlap(doc: Seeds, item: Seeds, least_words: int, least_identity: float) -> tuple[int, int, int, float] | None:
+    """(doc_start, doc_end, matched, identity) with the most equal words, the first of several.
+
+    A diagonal has no more equal words in a stretch than in all, so they are tried by that number."""
+    found = diagonals(doc, item)
+    n, m = len(doc.words), len(item.words)
+    equal = np.zeros(len(found), np.int64)
+    for j in range(m) if len(found) > 4 * m else ():  # a column at a time where there are many
+        at = found + j
+        inside = (at >= 0) & (at < n)
+        equal[inside] += doc.words[at[inside]] == item.words[j]
+    if len(found) <= 4 * m:
+        for i, d in enumerate(found.tolist()):
+            lo, hi = max(d, 0), min(d + m, n)
+            equal[i] = (doc.words[lo:hi] == item.words[lo - d : hi - d]).sum()
+    enough = equal >= min(least_words, m)
+    found, equal = found[enough], equal[enough]
+    best: tuple[int, int, int, float] | None = None
+    for i in np.lexsort((found, -equal)).tolist():
+        d = int(found[i])
+        if best is not None and (equal[i] < best[2] or equal[i] == best[2] and max(d, 0) > best[0]):
+            break
+        new = verify(doc.words, item.words, d, least_words, least_identity)
+        if new and (best is None or (-new[2], new[0], new[1]) < (-best[2], best[0], best[1])):
+            best = new
+    return best
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_identity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, text_hash, doc_start, doc_end, matched, identity): for each document and item that
     overlap, the longest overlap.  Positions count words; ``text_hash`` is xxhash64 of the text."""
-    items = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    if (size[0] or 0) <= 6 * broadcast_words and size[1] <= broadcast_words:
-        return _joined_by_broadcast(docs, items, least_words, least_identity)
-    return joined_by_shuffle(docs, items, least_words, least_identity)
-
-
-def _joined_by_broadcast(docs: DataFrame, items: DataFrame, least_words: int, least_identity: float) -> DataFrame:
-    listed = items.collect()
-    sent = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in listed], [r.text for r in listed]))
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("item")).distinct().withColumn("i", F.xxhash64("item_id", "item"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("d"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(*sent.value)
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text_hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows = []
             for first, _, data, offsets in text_slices(batch.column(1)):
-                words = Words(data, offsets)
-                best: dict[tuple[int, int], tuple] = {}
-                for d, i, diagonal in bench.hits(words).tolist():
-                    own = words.hashes[words.doc_from[d] : words.doc_from[d + 1]]
-                    found = verify(own, bench.items[i], diagonal, least_words, least_identity)
-                    if found and _better(found, best.get((d, i))):
-                        best[d, i] = found
-                rows += [(ids[first + d], bench.ids[i], text_hashes[first + d], *found) for (d, i), found in best.items()]
-            yield _batch(rows)
-
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.xxhash64(text_or_empty())).mapInArrow(run, _RESULT)
-
-
-def _seed_table(rows: DataFrame, keys: list[str], bitmap: np.ndarray | None = None, shift: int = 0, short: tuple[int, ...] | None = None) -> DataFrame:
-    """(h, at, n_words, *keys) of all windows of (``keys``, text); whole texts where shorter than a mask,
-    or with ``short`` all windows of those lengths."""
-    kinds = dict(rows.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, _, data, offsets in text_slices(batch.column(len(keys))):
                 words = Words(data, offsets)
                 n = words.counts()
-                parts = list(seeds_of(words))
-                for k in range(1, SPAN) if short is None else short:
-                    begin, doc = windows(words.doc_from, k)
-                    whole = n[doc] == k if short is None else np.ones(len(doc), bool)
-                    parts.append((window_hashes(words.hashes, begin[whole], k), begin[whole], doc[whole]))
-                for hashes, begin, doc in parts:
-                    if bitmap is not None:
-                        stay = bitmap[(hashes >> np.uint64(shift)).astype(np.int64)]
-                        hashes, begin, doc = hashes[stay], begin[stay], doc[stay]
-                    own = [batch.column(j).take(pa.array(doc + first)) for j in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array((begin - words.doc_from[doc]).astype(np.int32)), pa.array(n[doc].astype(np.int32)), *own], names=["h", "at", "n_words", *keys])
-
-    return rows.select(*keys, "text").mapInArrow(run, "h long, at int, n_words int, " + ", ".join(f"{k} {kinds[k]}" for k in keys))
-
-
-def joined_by_shuffle(docs: DataFrame, items: DataFrame, least_words: int = 10, least_identity: float = 0.8) -> DataFrame:
-    """The same result by joins of tables, for benchmarks of any size."""
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("d", F.xxhash64("text"))
-    bench = items.withColumn("i", F.xxhash64("item_id", "text"))
-    wanted = staged(_seed_table(bench, ["i"]).distinct(), "benchmark-seeds")
-    bitmap, shift = hash_bitmap(wanted.select("h").distinct(), "h", BITMAP_BITS)
-    short = tuple(sorted(r.n_words for r in wanted.where(F.col("n_words") < SPAN).select("n_words").distinct().collect()))
-    there = _seed_table(texts, ["doc_id", "d"], bitmap, shift, short).select("h", "doc_id", "d", F.col("at").alias("doc_at"))
-    pairs = there.join(wanted.select("h", "i", "at"), "h").select("doc_id", "d", "i", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
-    hits = pairs.join(bench.select("i", "item_id", F.col("text").alias("item")).distinct(), "i")
-    own = texts.select(F.col("doc_id").alias("own_id"), F.col("d").alias("own_d"), "text", F.monotonically_increasing_id().alias("row"))
-    both = hits.join(own, (F.col("d") == F.col("own_d")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "item_id", "i", "row", "d", "diagonal", "text", "item")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def hashed(column: pa.Array) -> list[np.ndarray]:
-            out = []
-            for _, _, data, offsets in text_slices(column):
+                parts = list(seeds_of(words))  # and items shorter than a mask, whole
+                for k in range(1, SPAN):
+                    mine = np.flatnonzero(n == k)
+                    if len(mine):
+                        parts.append((window_hashes(words.hashes, words.doc_from[mine], k), words.doc_from[mine], mine))
+                for hashes, _, doc in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), batch.column(0).take(pa.array(doc + first)), pa.array(n[doc].astype(np.int32))], names=["h", "i", "n_words"])
+
+    wanted = staged(items.select("i", "item").mapInArrow(of_items, "h long, i long, n_words int").distinct(), "benchmark-seeds")
+    flags, shift = hash_bits(wanted.select("h").distinct(), "h")
+    sent = spark.sparkContext.broadcast(flags)
+    short = tuple(sorted(r.n_words for r in wanted.where(F.col("n_words") < SPAN).select("n_words").distinct().collect()))  # 9 at most
+
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in text_slices(batch.column(2)):
                 words = Words(data, offsets)
-                out += [words.hashes[a:b] for a, b in zip(words.doc_from[:-1], words.doc_from[1:], strict=True)]
-            return out
+                held = []
+                for hashes, _, doc in seeds_of(words, short):
+                    stay = np.flatnonzero(flagged(sent.value, shift, hashes))
+                    held.append(np.stack([signed(hashes[stay]), doc[stay]], axis=1))
+                rows = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+                own = pa.array(rows[:, 1] + first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), batch.column(0).take(own), batch.column(1).take(own)], names=["h", "doc_id", "d"])
+
+    there = texts.select("doc_id", "d", "text").mapInArrow(of_documents, "h long, doc_id long, d long")
+    pairs = staged(there.join(wanted.select("h", "i"), "h").select("doc_id", "d", "i").distinct(), "benchmark-pairs")
+    named = pairs.select(F.col("doc_id").alias("own_id"), F.col("d").alias("own_d"), "i")
+    both = texts.join(named, (F.col("d") == F.col("own_d")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).join(items, "i")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, Seeds | None] = (None, None)
+        known: dict[int, Seeds] = {}
+
+        def seeds(text: str) -> Seeds:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            return Seeds(Words(raw, np.array([0, len(raw)])).hashes, short)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows, keep = [], []
-                for j, (doc, item, diagonal) in enumerate(zip(hashed(part.column(6)), hashed(part.column(7)), part.column(5).to_pylist(), strict=True)):
-                    found = verify(doc, item, diagonal, least_words, least_identity)
-                    if found:
-                        keep.append(j)
-                        rows.append(found)
-                at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(5)), *(pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64())))], names=["doc_id", "item_id", "i", "row", "text_hash", "doc_start", "doc_end", "matched", "identity"])
-
-    found = both.mapInArrow(run, "doc_id long, item_id long, i long, row long, text_hash long, doc_start int, doc_end int, matched int, identity double")
-    best = found.groupBy("doc_id", "item_id", "i", "row", "text_hash").agg(F.max_by(F.struct("doc_start", "doc_end", "matched", "identity"), F.struct("matched", -F.col("doc_start"))).alias("b"))
-    return best.select("doc_id", "item_id", "text_hash", "b.*")
+            rows, keep = [], []
+            for j, (d, i) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if d != last[0]:  # the pairs of a document follow each other
+                    last = (d, seeds(batch.column(4)[j].as_py()))
+                if i not in known:
+                    if len(known) >= 4096:
+                        known.clear()
+                    known[i] = seeds(batch.column(5)[j].as_py())
+                found = longest_overlap(last[1], known[i], least_words, least_identity)
+                if found:
+                    keep.append(j)
+                    rows.append(found)
+            at = pa.array(keep, pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            columns = [batch.column(c).take(at) for c in range(3)] + [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "text_hash", "doc_start", "doc_end", "matched", "identity"])
+
+    return both.select("doc_id", "item_id", "d", "i", "text", "item").mapInArrow(compare, _RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

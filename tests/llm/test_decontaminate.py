@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -54,13 +55,20 @@ def corpus():
     return docs, bench
 
 
-def test_both_joins_equal_brute_force(spark):
+def test_joins_of_any_kind_equal_brute_force(spark):
     rows, items = corpus()
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], SCHEMA)
     bench = spark.createDataFrame([(i, t, 3) for i, t in items], BENCH)
     want = brute(rows[:-1], items) | {(203, 2)}
     broadcast = dc.overlaps(docs, bench).collect()
-    shuffled = dc.overlaps(docs, bench, broadcast_words=0).collect()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = dc.overlaps(docs, bench).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert {(r.doc_id, r.item_id) for r in broadcast} == want
     assert sorted((tuple(r) for r in broadcast), key=str) == sorted((tuple(r) for r in shuffled), key=str)
     kept = dc.clean(docs, bench)
@@ -86,8 +94,26 @@ def test_verify_finds_any_stretch_that_counts():
     assert dc.verify(np.where(cases[0], np.arange(54), -1), np.arange(54), 0, 10, 0.8)
 
 
+def test_repeated_items_ties_and_hot_seeds(spark):
+    """Repeated items are one; of equal overlaps the first counts; one word repeated does not multiply."""
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"{item} and again {item}"), (2, "x " * 100_000), (3, "a b " * 500), (3, "a b " * 500)]
+    bench = [(5, item), (5, item), (6, "x " * 200), (7, "b a " * 40), (8, "x"), (None, item)]
+    began = time.perf_counter()
+    got = sorted(dc.overlaps(spark.createDataFrame([(d, t, 1, 2) for d, t in rows], SCHEMA), spark.createDataFrame([(i, t, 3) for i, t in bench], BENCH)).drop("text_hash").collect(), key=str)
+    assert [tuple(r) for r in got] == [
+        (1, 5, 0, 20, 20, 1.0),
+        (1, None, 0, 20, 20, 1.0),
+        (2, 6, 0, 200, 200, 1.0),
+        (2, 8, 0, 1, 1, 1.0),
+        (3, 7, 1, 81, 80, 1.0),
+        (3, 7, 1, 81, 80, 1.0),
+    ]
+    assert time.perf_counter() - began < 60
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], BENCH)
     some = spark.createDataFrame([(1, "a b c", 1, 1)], SCHEMA)
-    assert dc.overlaps(docs, bench).count() == dc.overlaps(some, bench).count() == dc.overlaps(some, bench, broadcast_words=-1).count() == 0
+    assert dc.overlaps(docs, bench).count() == dc.overlaps(some, bench).count()  == 0
     assert dc.clean(some, bench).count() == 1
