@@ -7,7 +7,8 @@ once with just the rules that are new for it, adds both tables' rows, and joins
 current rule versions back to every path that holds the blob.
 
 A rule is a Java regular expression whose matches are taken leftmost and without overlap; a match
-counts if ``kept_group`` of it has at least ``least_chars`` characters.  Positions are code points.
+counts if ``kept_group`` of it has at least ``least_chars`` characters.  Positions are code points, and
+come from running sums of the lengths of matches and of what lies between them, in a window per blob.
 
 Cases: a null text is the empty blob; null paths stay as rows; copies share one scan; repeated rows
 are reported each; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import shared_path, text_or_empty
 
@@ -46,24 +48,30 @@ RULES = (
 )
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Array of (span_start, span_end) of a rule's matches in ``text``, in order.
+_HIT = "struct<rule: string, version: int, place: int, gap: int, size: int, kept: boolean>"
 
-    The text between matches and the matches alternate, so positions are running sums of lengths."""
+
+def hits_of(text: Column, rule: Rule) -> Column:
+    """Array of a rule's matches in ``text``, in order: their number, the characters between the match
+    before and this one, and their length.
+
+    No position is known here: summing up inside an array would copy it for each match."""
     pattern = F.lit(rule.pattern)
     between = F.split(text, rule.pattern, -1)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.kept_group)) if rule.kept_group else found
-    steps = F.zip_with(F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"))), kept, lambda s, k: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), (F.length(k) >= rule.least_chars).alias("kept")))
-    empty = F.expr("struct(0 AS at, cast(array() AS array<struct<span_start: int, span_end: int>>) AS spans)")
+    sizes = F.zip_with(F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"))), kept, lambda s, k: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), (F.length(k) >= rule.least_chars).alias("kept")))
+    hits = F.transform(F.filter(sizes, lambda s: s["size"].isNotNull()), lambda s, i: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), i.alias("place"), s["gap"].alias("gap"), s["size"].alias("size"), s["kept"].alias("kept")))
+    return F.when(text.rlike(rule.pattern), hits)
 
-    def step(done: Column, s: Column) -> Column:
-        begin = done["at"] + s["gap"]
-        span = F.struct(begin.alias("span_start"), (begin + s["size"]).alias("span_end"))
-        return F.struct((begin + s["size"]).alias("at"), F.when(s["kept"], F.array_append(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
 
-    folded = F.aggregate(F.filter(steps, lambda s: s["size"].isNotNull()), empty, step, lambda done: done["spans"])
-    return F.when(text.rlike(rule.pattern), folded).otherwise(empty["spans"])
+def with_spans(hits: DataFrame) -> DataFrame:
+    """The findings of (blob, rule, version, place, gap, size, kept): gaps and matches alternate, so a match
+    ends at the running sum of both."""
+    upto = Window.partitionBy("blob", "rule", "version").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")
+    placed = hits.withColumn("span_end", end).where("kept")
+    return placed.select("blob", "rule", "version", (F.col("span_end") - F.col("size")).alias("span_start"), "span_end")
 
 
 def blobs_of(docs: DataFrame, path: str = "doc_id") -> DataFrame:
@@ -106,15 +114,14 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: st
             for hint in rule.hints:
                 hinted = hinted | lowered.contains(hint)
             worth = worth & hinted
-        spans = F.when(worth, spans_of(text, rule))
-        parts.append(_labelled(spans, rule))
-    nothing = F.expr("cast(array() AS array<struct<rule: string, version: int, span_start: int, span_end: int>>)")
+        parts.append(F.when(worth, hits_of(text, rule)))
+    nothing = F.expr(f"cast(array() AS array<{_HIT}>)")
     results = todo.select("blob", "todo", F.concat(*[F.coalesce(p, nothing) for p in parts]).alias("found"))
     # one pass over the texts writes both: the blobs scanned, with what was found in each
     batch = shared_path(spark, "secret-scan")
     results.write.parquet(batch)
     done = spark.read.schema(results.schema).parquet(batch)
-    done.select("blob", F.explode("found").alias("f")).select("blob", "f.*").select("blob", "rule", "version", "span_start", "span_end").write.mode("append").parquet(f"{ledger}/findings")
+    with_spans(done.select("blob", F.explode("found").alias("f")).select("blob", "f.*")).write.mode("append").parquet(f"{ledger}/findings")
     pair = F.split(F.col("pair"), "@")
     done.select("blob", F.explode("todo").alias("pair")).select("blob", pair[0].alias("rule"), pair[1].cast("int").alias("version")).write.mode("append").parquet(f"{ledger}/scanned")
     return report(docs, ledger, rules, path)
@@ -134,10 +141,6 @@ def report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path:
     return paths.join(by_blob, "blob", "left").select("path", "blob", listed.alias("findings"))
 
 
-def _labelled(spans: Column, rule: Rule) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), s["span_start"].alias("span_start"), s["span_end"].alias("span_end")))
-
-
 def digest(findings: Column) -> Column:
     """kind:start:end of each finding, comma-joined."""
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["rule"], f["span_start"].cast("string"), f["span_end"].cast("string"))), ",")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,5 +45,16 @@ def test_spans_and_ledger(spark, tmp_path):
     assert sorted((str(r.path), [tuple(f) for f in r.findings]) for r in got) == sorted((d, [f for f in fs if f[0] != "hex" or f[2] - f[1] >= 20]) for d, fs in want)
 
 
+def test_many_matches_in_one_text(spark, tmp_path):
+    """40 000 matches of each kind in one text: work in proportion, and every one of them found."""
+    text = "token=abcdefghijklmnop AKIAABCDEFGHIJKLMN 0123456789abcdef0 é " * 40_000
+    began = time.perf_counter()
+    found = secrets.scan(spark.createDataFrame([(1, text, 0, 0)], SCHEMA), str(tmp_path / "l")).first().findings
+    assert time.perf_counter() - began < 30
+    assert len(found) == 120_000
+    for i, (kind, at, size) in enumerate((("assign", 0, 22), ("access", 23, 18), ("hex", 42, 17))):
+        assert [tuple(f) for f in found[i::3]] == [(kind, 62 * j + at, 62 * j + at + size) for j in range(40_000)]
+
+
 def test_empty(spark, tmp_path):
     assert secrets.scan(spark.createDataFrame([], SCHEMA), str(tmp_path / "l")).count() == 0
