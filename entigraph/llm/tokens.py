@@ -37,7 +37,11 @@ from .common import remove, shared_path, shuffle_width, text_or_empty
 
 EVERY = 64
 BLOCK_IDS = 1 << 16
-_CACHED = 1_500_000
+#: Bytes of remembered pieces and ids that a worker may hold, counted with what Python adds to each.
+_CACHED_BYTES = 320 << 20
+_ENTRY_BYTES = 200
+#: Longer pieces, such as whole texts without spaces, are not remembered.
+_LONG = 64
 _BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<int>, sizes array<int>, bits binary, checkpoints binary"
 _STAGED = "doc_ids array<long>, hashes array<long>, lengths array<int>, ids binary, counted binary, counts binary"
 #: A space with white space on both sides, or at the end after white space: there a cut before the space
@@ -65,6 +69,8 @@ class Encoder:
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # the byte 0x20, as this model spells it
         self.known: dict[str, bytes] = {}
         self.begin: dict[str, bytes] = {}
+        self.held = 0
+        self.long: list[str] = []
         self.marks = {m: self._alone(m) for m in _MARKS}
 
     def _alone(self, text: str) -> bytes:
@@ -78,6 +84,8 @@ class Encoder:
         self._learn_whole(pieces)
         for p in marked:
             self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
+        self.long += [p for p in pieces.union(marked) if len(p) > _LONG]
+        self.held += _ENTRY_BYTES * (len(pieces) + len(marked)) + 6 * (sum(map(len, pieces)) + sum(map(len, marked)))
 
     def _learn_whole(self, pieces: set[str]) -> None:
         plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
@@ -94,10 +102,10 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; what is new in any of them is learned at once."""
-        if len(self.known) > _CACHED:
+        if self.held > _CACHED_BYTES:
             self.known.clear()
-        if len(self.begin) > _CACHED:
             self.begin.clear()
+            self.held = 0
         get, missing, parts = self.known.get, set(), []
         for text in texts:
             if _MAYBE_UNSAFE.search(text) and _UNSAFE.search(text):
@@ -116,11 +124,18 @@ class Encoder:
                 out.append(np.frombuffer(self._alone(text), "<u4"))
                 continue
             head, rest, found = part
-            if head not in self.begin:
-                self.begin[head] = self._alone(head)
+            begin = self.begin.get(head)
+            if begin is None:
+                begin = self._alone(head)
+                if len(head) <= _LONG:
+                    self.begin[head] = begin
+                    self.held += _ENTRY_BYTES + 6 * len(head)
             if None in found:
                 found = [self.known[w] if b is None else b for w, b in zip(rest, found, strict=True)]
-            out.append(np.frombuffer(self.begin[head] + b"".join(found), "<u4"))
+            out.append(np.frombuffer(begin + b"".join(found), "<u4"))
+        for piece in self.long:
+            self.known.pop(piece, None)
+        self.long.clear()
         return out
 
     def ids(self, text: str) -> np.ndarray:

@@ -29,6 +29,18 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert enc.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_pieces_are_not_remembered(monkeypatch):
+    """Texts without spaces leave nothing behind, and a full cache is emptied without changing any id."""
+    enc = tokens.Encoder(P.path("byte_bpe_50k.json"))
+    texts = [chr(0x4E00 + i) * 3000 for i in range(30)] + ["a " + chr(0x5E00 + i) * 3000 + ". b" for i in range(30)]
+    assert [i.tolist() for i in enc.many(texts)] == [direct(t) for t in texts]
+    assert not enc.long and all(len(p) <= 64 for p in [*enc.known, *enc.begin])
+    monkeypatch.setattr(tokens, "_CACHED_BYTES", 2000)
+    for text in ("one two three four.", "five six seven eight!", "one nine ten, eleven"):
+        assert enc.ids(text).tolist() == direct(text)
+        assert enc.held < 10_000
+
+
 def test_lengths_are_optimal():
     rng = np.random.default_rng(0)
     for n in (2, 3, 17, 200):
