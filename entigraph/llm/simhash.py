@@ -205,6 +205,8 @@ def links(nodes: DataFrame, bits: int, most: int, n_blocks: int, n_agree: int, p
         large = sizes.where(F.col("n") > bucket_most).select("key")
         if large.isEmpty():
             break
+        if depth == 63:
+            raise RuntimeError("a bucket of fingerprints could not be split")
         if most < 8:
             keyed = staged(keyed.join(large, "key").select("fp", "key", "plan"), "simhash-large").mapInArrow(split_again(depth), "fp binary, key long, plan long")
         else:
