@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_path
+from .common import shared_path, staged
 
 #: Columns taken from headers; predicates on them are answered from the headers alone.
 HEADER_COLUMNS = {
@@ -209,7 +209,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = _fs(self.path)
-        infos = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if i.is_file and i.base_name.endswith((".warc", ".warc.gz")) and "/_attempts/" not in i.path]
+        infos = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if i.is_file and i.base_name.endswith((".warc", ".warc.gz")) and "/_attempts-" not in i.path]
         if fs.get_file_info(root).is_file:
             infos = [fs.get_file_info(root)]
         bins: list[list[str]] = []
@@ -256,6 +256,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
+        #: Of this job alone: other jobs may be writing to the same folder.
+        self.attempts = f"_attempts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _fs(self.path)
@@ -263,8 +265,8 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None:
-                    fs.create_dir(f"{root}/_attempts", recursive=True)
-                    out = fs.open_output_stream(f"{root}/_attempts/{name}", compression=None)
+                    fs.create_dir(f"{root}/{self.attempts}", recursive=True)
+                    out = fs.open_output_stream(f"{root}/{self.attempts}/{name}", compression=None)
                 out.write(member(record(row)))
         if out is None:
             return Written(None)
@@ -276,16 +278,15 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         for message in messages:
             if message is not None and message.name:
-                fs.move(f"{root}/_attempts/{message.name}", f"{root}/{message.name}")
+                fs.move(f"{root}/{self.attempts}/{message.name}", f"{root}/{message.name}")
         self._drop_attempts(fs, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._drop_attempts(*_fs(self.path))
 
-    @staticmethod
-    def _drop_attempts(fs: pafs.FileSystem, root: str) -> None:
-        if fs.get_file_info(f"{root}/_attempts").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{root}/_attempts")
+    def _drop_attempts(self, fs: pafs.FileSystem, root: str) -> None:
+        if fs.get_file_info(f"{root}/{self.attempts}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{root}/{self.attempts}")
 
 
 class WarcSource(DataSource):
@@ -317,7 +318,9 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    owners = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("owner"))
+    # only digests that occur more than once, and written first: where they are few, Spark sees that and moves no payload
+    owners = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n"))
+    owners = staged(owners.where("n > 1").select("payload_digest", "owner"), "warc-owners")
     joined = rows.join(owners, "payload_digest", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id"))
     out = joined.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("owner")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
