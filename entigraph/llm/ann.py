@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by an adaptive dimension scan.
 
-All vectors are dealt to lists by their nearest centroid, and lists are packed into bins of bounded size
-(a list with very many equal vectors fills several bins).  A query goes once to each bin that holds a
-list it probes.  There, vectors are rotated by a fixed random rotation and held in column blocks; after
+Equal vectors are one: of their ids only the k + 1 smallest can be among anybody's k nearest, so no others
+are indexed, and they are one query, whose answer each of them takes without its own id.
+
+Vectors are dealt to lists by their nearest centroid, and lists are packed into bins of bounded size (a
+large list fills several bins).  A query goes once to each bin that holds a list it probes; a bin is
+copied only for every ``query_block`` queries that come to it, so copies keep pace with work.  There, vectors are rotated by a fixed random rotation and held in column blocks; after
 each block a hypothesis test compares the partial distance, scaled to all dimensions, with the query's
 bound, and candidates that fail it are abandoned.  What survives is measured exactly, on the original
 vectors in double precision.
 
-Only fitting is done on a sample, of at most ``sample_most`` distinct vectors drawn by hash: the
-centroids, the number of lists to probe (the least that finds ``recall`` of the sample's neighbours), and
+Only fitting is done on a sample, of at most ``sample_most`` distinct vectors drawn by hash (16 for each of
+as many lists as the square root of their number, 16 384 at least): the centroids, in two levels, the number of lists to probe (the least that finds ``recall`` of the sample's neighbours), and
 each query's first bound, the distance of its k-th neighbour in the sample.
 
 Cases: vectors that are null, empty, all zero or hold a null or non-finite component take no part, nor do
@@ -84,14 +87,24 @@ def k_means(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
+def two_level(points: np.ndarray, n_lists: int) -> np.ndarray:
+    """About ``n_lists`` centroids: of coarse clusters, and within each by its share of the points."""
+    coarse = k_means(points, max(1, int(n_lists**0.5)))
+    if len(coarse) < 16:
+        return k_means(points, n_lists)
+    owner = squared(points, coarse).argmin(axis=1)
+    parts = [points[owner == c] for c in range(len(coarse))]
+    return np.concatenate([k_means(p, max(1, min(len(p), round(n_lists * len(p) / len(points))))) for p in parts if len(p)])
+
+
 def fit(rows: DataFrame, dim: int, n_rows: int, k: int, recall: float, sample_most: int) -> Fit:
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_most).collect()
-    ids = np.array([r.vec_id for r in drawn], np.int64)
-    sample = np.array([r.v for r in drawn], np.float64).reshape(-1, dim)
-    _, first = np.unique(sample, axis=0, return_index=True)
-    apart = sample[np.sort(first)]
-    n_lists = int(max(1, min(n_rows**0.5, len(apart) / 16, 4096)))
-    centroids = k_means(apart, n_lists)
+    wanted = int(min(max(16 * n_rows**0.5, 16_384), sample_most))
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toArrow()
+    ids = drawn.column("vec_id").to_numpy()
+    sample = matrix(drawn.column("v").combine_chunks(), dim).astype(np.float64)
+    n_lists = int(max(1, min(n_rows**0.5, len(sample) / 16)))
+    centroids = two_level(sample, n_lists)
+    n_lists, apart = len(centroids), sample
     rotation = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((dim, dim)))[0]
     # the rank of the list that holds each neighbour, over sample queries
     owner = squared(apart, centroids).argmin(axis=1)
@@ -125,14 +138,23 @@ def abandon(rotated: np.ndarray, query: np.ndarray, alive: np.ndarray, bound: fl
     return alive
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97, sample_most: int = 16_384, bin_least: int = 2_048, bin_most: int = 65_536, query_block: int = 8_192, block: int = 16, doubt: float = 2.1) -> DataFrame:
+def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97, sample_most: int = 65_536, bin_least: int = 2_048, bin_most: int = 65_536, query_block: int = 8_192, block: int = 16, doubt: float = 2.1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``queries`` (a condition on
     vec_id) selects, by Euclidean distance, ties to the smaller vec_id."""
     found, dim = vectors(rows)
-    table = staged(found, "ann-vectors")
+    # the smallest ids of each vector; 0.0 and -0.0 are one
+    same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    every_row = staged(found.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "ann-rows")
+    ids = staged(every_row.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1), "ann-ids")
+    table = staged(ids.where("place = 1").select("vec_id", "v"), "ann-vectors")
     n_rows = table.count()
     if not n_rows:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # one query for each vector that is asked for, told by the smallest id of that vector
+    names = table.select(F.col("vec_id").alias("name"), F.xxhash64("v").alias("_h"), F.col("v").alias("_v"))
+    asking = every_row.where(queries).withColumn("h", F.xxhash64("v"))
+    asking = staged(asking.join(names, (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v"))).select("vec_id", "name"), "ann-asking")
+    wanted = staged(table.join(asking.select(F.col("name").alias("vec_id")).distinct(), "vec_id"), "ann-wanted")
     learned = fit(table, dim, n_rows, k, recall, sample_most)
     shared = table.sparkSession.sparkContext.broadcast(learned)
 
@@ -144,19 +166,10 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97,
 
     index = staged(table.mapInArrow(assign, "vec_id long, v array<double>, list int"), "ann-index")
     sizes = np.zeros(len(learned.centroids), np.int64)
-    for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row per list, 4096 at most
+    for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row per list, sample_most / 16 at most
         sizes[r.list] = r.n
     bin_rows = int(min(max(n_rows / 200, bin_least), bin_most))
     first_bin, n_bins = pack(sizes, bin_rows)
-    n_blocks = -(-table.where(queries).count() // query_block) or 1
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-            bins = first_bin[lists] + _spread(ids) % n_bins[lists]
-            for b in range(n_blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), pa.array(np.full(len(ids), b, np.int32)), *batch.columns], names=["bin", "part", "vec_id", "v", "list"])
-
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
@@ -171,7 +184,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97,
                     some = others[np.argpartition(close[j][others], min(k + 4, len(others) - 1))[: k + 5]] if len(others) > k + 5 else others
                     d = exact(vector, own.sample[some])
                     top = np.lexsort((own.sample_ids[some], d))[:k]
-                    rows += [(None, None, qid, None, None, int(own.sample_ids[some[t]]), float(d[t])) for t in top]
+                    rows += [(None, qid, None, None, int(own.sample_ids[some[t]]), float(d[t])) for t in top]
                     bound = float(d[top[-1]]) if len(top) == k else float("inf")
                     enough = int(np.searchsorted(np.cumsum(sizes[order]), k + 1)) + 1
                     probed = order[: max(own.probes, enough)]
@@ -179,10 +192,9 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97,
                     for x in probed[sizes[probed] > 0].tolist():
                         for b in range(int(first_bin[x]), int(first_bin[x] + n_bins[x])):
                             where.setdefault(b, []).append(x)
-                    part = int(_spread(ids[lo + j : lo + j + 1])[0] % n_blocks)
-                    rows += [(b, part, qid, vector, lists, None, bound) for b, lists in where.items()]
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64(), pa.float64())
-                names = ["bin", "part", "query_id", "q", "lists", "vec_id", "score"]
+                    rows += [(b, qid, vector, lists, None, bound) for b, lists in where.items()]
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64(), pa.float64())
+                names = ["bin", "query_id", "q", "lists", "vec_id", "score"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=names)
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -209,13 +221,40 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97,
                     out.append((r["query_id"], int(ids[alive[t]]), float(d[t])))
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    sent = staged(table.where(queries).mapInArrow(asked, "bin int, part int, query_id long, q array<double>, lists array<int>, vec_id long, score double"), "ann-queries")
+    sent = staged(wanted.mapInArrow(asked, "bin int, query_id long, q array<double>, lists array<int>, vec_id long, score double"), "ann-queries")
     first = sent.where("bin IS NULL").select("query_id", "vec_id", "score")
+    visits = sent.where("bin IS NOT NULL")
+    copies = np.ones(int((first_bin + n_bins).max()), np.int64)
+    counts = staged(visits.groupBy("bin").agg(F.ceil(F.count("*") / query_block).cast("long").alias("copies")), "ann-copies")
+    for r in counts.where("copies > 1").collect():  # a row per bin
+        copies[r.bin] = r.copies
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            bins = first_bin[lists] + _spread(ids) % n_bins[lists]
+            for b in range(int(copies[bins].max(initial=0))):
+                rows = np.flatnonzero(copies[bins] > b)
+                own = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(bins[rows].astype(np.int32)), pa.array(np.full(len(rows), b, np.int32)), *own.columns], names=["bin", "part", "vec_id", "v", "list"])
+
     there = index.mapInArrow(binned, "bin int, part int, vec_id long, v array<double>, list int")
-    scanned = there.groupBy("bin", "part").cogroup(sent.where("bin IS NOT NULL").groupBy("bin", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    every = first.unionAll(scanned).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = visits.join(counts, "bin").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")).drop("copies")
+    scanned = there.groupBy("bin", "part").cogroup(dealt.groupBy("bin", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    near = first.unionAll(scanned).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("name").orderBy("score", "near_id")
+    near = near.select(F.col("query_id").alias("name"), F.col("vec_id").alias("near_id"), "score")
+    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    # back to rows: the query's own vector at distance 0, each vector by its smallest ids, and no row its own neighbour
+    itself = wanted.select(F.col("vec_id").alias("name"), F.col("vec_id").alias("near_id"), F.lit(0.0).alias("score"))
+    members = ids.select(F.xxhash64("v").alias("h"), F.col("v").alias("mv"), "vec_id")
+    groups = staged(members.join(names, (F.col("h") == F.col("_h")) & (F.col("mv") == F.col("_v"))).select(F.col("name").alias("near_id"), "vec_id"), "ann-members")
+    full = near.unionAll(itself).join(groups, "near_id").select("name", "vec_id", "score")
+    most = Window.partitionBy("name").orderBy("score", "vec_id")
+    short = full.withColumn("place", F.row_number().over(most)).where(F.col("place") <= k + 1).drop("place")
+    answers = asking.select(F.col("vec_id").alias("query_id"), "name").join(short, "name").where("query_id <> vec_id")
+    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return answers.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
