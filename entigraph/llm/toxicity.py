@@ -1,20 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to symbols (insult, threat, target, negation, report, other) and each clause is run
-through a cascade of small transducers, composed once: the negation transducer marks what stands in the
-reach of a negation, the reported-speech transducer what stands after a verb of saying, and the target
-transducer what is aimed at somebody.  The last one scores the marks, so "you are no idiot" and
-"he called them idiots" weigh differently from "you idiot".
+through a cascade of small transducers, composed once: the insult transducer tells a clause's first insult
+from further ones, the negation transducer marks what stands in the reach of a negation, the
+reported-speech transducer what stands after a verb of saying, the target transducer what is aimed at
+somebody, and the threat transducer violence that finds its target.  A clause is scored by the marks it
+collects, so "you are no idiot" and "he called them idiots" weigh differently from "you idiot" and "you
+stupid idiot"; a text is scored by its matched clauses: their sums for each kind, the strongest of them,
+and their share.
 
 Weights come from labelled rows.  Words and word beginnings whose share among toxic texts is far above
 that among clean texts become insults, weighted by the logarithm of the ratio; the weight of each kind of
 mark is fitted by logistic regression.  Only the text is an input.  Training reads at most
-``sample_most`` labelled rows, drawn by hash, half from each class; the counts per word are summed by
+``sample_most`` labelled rows, drawn by hash, half from each class, one text for each doc_id; the counts per word are summed by
 Spark, and what reaches the driver is bounded by ``sample_most`` rows of a few numbers and
 ``lexicon_most`` entries.
 
 Cases: a null or empty text has no marks and takes the score of the intercept; rows with a null doc_id
-are never held out and never learned from; labels that repeat or contradict each other count each; with
+are never held out and never learned from; a label that repeats counts once, labels that contradict each
+other count each; with
 no labels of both classes the built-in lexicon and weights are used; repeated rows are scored each; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -46,7 +50,9 @@ _STOPS = frozenset(".!?;:\n")
 PREFIXES = (4, 5, 6, 7)
 MARKS = ("plain", "aimed", "negated", "reported", "threat")
 #: Before there are labels: the weight of the logarithm of each kind of mark, and the intercept.
-PRIOR = np.array([-4.0, 2.5, 3.0, 0.8, 1.0, 2.5, 0.5, 0.5])
+PRIOR = np.array([-4.0, 2.5, 3.0, 0.8, 1.0, 2.5, 0.5, 0.5, 0.5])
+#: How much a mark counts in the score of its clause.
+FORCE = {"plain": 1.0, "aimed": 1.5, "negated": 0.25, "reported": 0.35, "threat": 1.5}
 
 
 @dataclass(frozen=True)
@@ -60,6 +66,11 @@ class Transducer:
         return self.arcs.get((state, symbol), (state, frozenset()))
 
 
+def insult() -> Transducer:
+    """A clause's first insult, and those that are piled on it."""
+    return Transducer(0, {(0, I): (1, frozenset({"insult"})), (1, I): (1, frozenset({"insult", "piled"})), (1, END): (0, frozenset())})
+
+
 def negation(reach: int = 3) -> Transducer:
     """After a negation, the next ``reach`` words are in its reach."""
     arcs = {(s, N): (reach, frozenset()) for s in range(reach + 1)} | {(s, END): (0, frozenset()) for s in range(reach + 1)}
@@ -92,19 +103,21 @@ class Grammar:
     def __init__(self, *machines: Transducer):
         self.machines = machines
         self.start = tuple(m.start for m in machines)
-        self.table: dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], str | None]] = {}
+        self.table: dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], str | None, bool]] = {}
 
-    def step(self, state: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], str | None]:
+    def step(self, state: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], str | None, bool]:
+        """The next state, the mark that the symbol is scored under, and whether it is piled on another."""
         key = (state, symbol)
         if key not in self.table:
             moves = [m.step(s, symbol) for m, s in zip(self.machines, state, strict=True)]
-            self.table[key] = (tuple(m[0] for m in moves), self.emit(symbol, frozenset().union(*(m[1] for m in moves))))
+            marks = frozenset().union(*(m[1] for m in moves))
+            self.table[key] = (tuple(m[0] for m in moves), self.emit(symbol, marks), "piled" in marks)
         return self.table[key]
 
     @staticmethod
     def emit(symbol: int, marks: frozenset[str]) -> str | None:
         """The one mark that a symbol is scored under."""
-        if symbol == I:
+        if "insult" in marks:
             return "reported" if "reported" in marks else "negated" if "negated" in marks else "aimed" if "aimed" in marks else "plain"
         if symbol == V and "aimed" in marks and not marks & {"reported", "negated"} or "struck" in marks:
             return "threat"
@@ -134,29 +147,33 @@ class Lexicon:
 
 
 def features(text: str, lexicon: Lexicon, grammar: Grammar) -> list[float]:
-    """[1, log(1 + weight) of each kind of mark, distinct insults up to 5, share of matched clauses]."""
+    """[1, log(1 + weight) of the clauses of each kind of mark, distinct insults up to 5, share of matched
+    clauses, log(1 + score) of the strongest clause].  In a clause, second insults count double."""
     tokens = _TOKEN.findall(text.lower())
     looked = list(map(lexicon.look, tokens))
     sums = dict.fromkeys(MARKS, 0.0)
+    tail = [0.0, 0.0, 0.0]
     if any(s == I or s == V for s, _ in looked):
-        state, clauses, matched, now, distinct = grammar.start, 0, 0, False, set()
+        state, clauses, matched, distinct = grammar.start, 1, 0, set()
+        here = strongest = 0.0  # the score of this clause, and of the best one
         for token, (symbol, weight) in zip(tokens, looked, strict=True):
-            state, mark = grammar.step(state, symbol)
+            state, mark, again = grammar.step(state, symbol)
             if mark:
-                sums[mark] += weight if symbol == I else 2.0
-                now = True
+                weight = weight if symbol == I else 2.0
+                matched += here == 0
+                here += FORCE[mark] * weight * (1 + again)
+                sums[mark] += weight
+                strongest = max(strongest, here)
                 if symbol == I:
                     distinct.add(token)
             elif symbol == END:
-                clauses, matched, now = clauses + 1, matched + now, False
-        tail = [min(len(distinct), 5) / 5, (matched + now) / (clauses + 1)]
-    else:
-        tail = [0.0, 0.0]
+                clauses, here = clauses + 1, 0.0
+        tail = [min(len(distinct), 5) / 5, matched / clauses, float(np.log1p(strongest))]
     return [1.0, *(float(np.log1p(sums[m])) for m in MARKS), *tail]
 
 
 def grammar() -> Grammar:
-    return Grammar(negation(), reported(), target(), threat())
+    return Grammar(insult(), negation(), reported(), target(), threat())
 
 
 @dataclass
@@ -191,11 +208,13 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_most: int) -> tuple[DataF
     """(doc_id, toxic, text) of at most ``sample_most`` labelled rows that may be learned from, and how
     many such labels there are of each class."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    usable = usable.distinct()
     there = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id", F.lit("sample")), F.col("doc_id")]
     chosen = staged(usable.where("toxic = 1").orderBy(*order).limit(sample_most // 2).unionAll(usable.where("toxic = 0").orderBy(*order).limit(sample_most // 2)), "toxicity-labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return staged(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample"), there  # at most sample_most pairs of numbers are sent
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most sample_most pairs of numbers are sent
+    return staged(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample"), there
 
 
 def _apart(sample: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from entigraph.llm import toxicity as tx
 
 SCHEMA = "doc_id long, text string, toxic int, score int"
@@ -22,6 +24,38 @@ def test_grammar():
     assert marks("Zorpling", tx.Lexicon(prefixes={"zorp": 2.0})) == {"plain"}
 
 
+def test_grammar_decides_where_words_do_not():
+    """The same insults in toxic and clean texts: aimed in the one, denied or reported in the other."""
+    rng = random.Random(5)
+    rude, ways = ["idiot", "moron", "scum", "loser"], (["You are a {}.", "They are stupid, you {}!", "I will kill you."], ["He is not an {}.", "She said what a {}.", "Nobody wrote {} here."])
+    texts, toxic = [], []
+    for i in range(600):
+        filler = [" ".join(rng.choices(["red", "tree", "walks", "slowly"], k=6)) + "." for _ in range(4)]
+        texts.append(" ".join([*filler[:2], rng.choice(ways[i % 2]).format(rng.choice(rude)), *filler[2:]]))
+        toxic.append(1 - i % 2)
+    right = {}
+    for name, cascade in (("grammar", tx.grammar()), ("words", tx.Grammar(tx.insult()))):
+        rows = np.array([tx.features(t, tx.Lexicon(), cascade) for t in texts])
+        w = tx._fit(rows[:300], np.array(toxic[:300], float), np.ones(300))
+        right[name] = np.mean((rows[300:] @ w > 0) == np.array(toxic[300:], bool))
+    assert right["grammar"] >= 0.95 and right["words"] <= 0.85
+
+
+def test_clauses_not_words():
+    """Two insults in one clause make a stronger clause than in two, and the share counts clauses."""
+    one, two = (tx.features(t, tx.Lexicon(), tx.grammar()) for t in ("what a stupid idiot. the end.", "how stupid. what an idiot."))
+    assert one[8] > two[8] and one[7] == 1 / 3 and two[7] == 2 / 3
+
+
+def test_sample_is_bounded(spark):
+    """Repeated doc_ids and repeated labels: never more than ``sample_most`` rows."""
+    docs = spark.createDataFrame([(i, f"text {i} {j}") for i in range(300) for j in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300) for _ in range(2)] + [(0, 1)], "doc_id long, toxic int")
+    sample, there = tx._sample(docs, labels, 100)
+    assert sample.count() == 100 == sample.select("doc_id", "toxic").distinct().count()
+    assert sum(there.values()) <= 301
+
+
 def corpus():
     rng = random.Random(9)
     vocab = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(800)]
