@@ -62,6 +62,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """As ``staged``, in buckets of ``key``: (the bucketed table, the same files as plain Parquet).
+
+    Joins of the first on ``key`` move only their other side; the second is for joins where that side has
+    hot keys, which Spark splits only if it shuffles both."""
+    spark, path, table = df.sparkSession, shared_path(df.sparkSession, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    width = shuffle_width(df)
+    rows = df.repartition(width, key).write.option("compression", "zstd").option("path", path)
+    rows.bucketBy(width, key).sortBy(key).saveAsTable(table)
+    return spark.table(table), spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``shared_path`` named, in whatever file system it lies."""
     jvm = spark.sparkContext._jvm
