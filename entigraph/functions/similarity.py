@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from .text import normalize, tokens
 
@@ -144,54 +144,35 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_of(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-#: Digit of each letter.
-_SOUNDS = {c: d for letters, d in (("BFPV", "1"), ("CGJKQSXZ", "2"), ("DT", "3"), ("L", "4"), ("MN", "5"), ("R", "6")) for c in letters}
-
-
-def sound_code_of(word: str) -> str:
-    """First letter, then each digit that differs from the last character of the code; four characters."""
-    letters = [c for c in word.upper() if c.isalpha()]
-    if not letters:
-        return ""
-    code = letters[0]
-    for c in letters[1:]:
-        digit = _SOUNDS.get(c)
-        if digit and digit != code[-1]:
-            code += digit
-    return (code + "000")[:4]
-
-
-@F.pandas_udf(StringType())
-def sound_code(word: pd.Series) -> pd.Series:
-    return word.map(lambda w: None if w is None else sound_code_of(w))
-
-
-def metaphone_of(word: str) -> str:
-    """Simple phonetic spelling: letters map to sounds, vowels only count at the start."""
-    w = "".join(c for c in word.upper() if "A" <= c <= "Z")
-    out, i = "", 0
-    pairs = {"PH": "F", "SH": "X", "TH": "0", "CH": "X", "CK": "K", "GH": "", "WH": "W", "QU": "KW"}
-    single = {"B": "B", "D": "T", "F": "F", "G": "K", "H": "", "J": "J", "K": "K", "L": "L", "M": "M", "N": "N", "P": "P", "Q": "K", "R": "R", "S": "S", "T": "T", "V": "F", "W": "W", "X": "KS", "Y": "Y", "Z": "S"}
-    while i < len(w):
-        two = w[i : i + 2]
-        if two in pairs:
-            out, i = out + pairs[two], i + 2
-            continue
-        c = w[i]
-        if c in "AEIOU":
-            sound = c if i == 0 else ""
-        elif c == "C":
-            sound = "S" if w[i + 1 : i + 2] in ("E", "I", "Y") else "K"
-        else:
-            sound = single[c]
-        out += "" if sound and out.endswith(sound) else sound
-        i += 1
-    return out
-
-
-@F.pandas_udf(StringType())
-def metaphone(word: pd.Series) -> pd.Series:
-    return word.map(lambda w: None if w is None else metaphone_of(w))
+#: Letters of each digit.
+SOUNDS = {"1": "BFPV", "2": "CGJKQSXZ", "3": "DT", "4": "L", "5": "MN", "6": "R"}
+
+
+def _letters(word: Column) -> Column:
+    return F.regexp_replace(F.upper(word), "[^A-Z]", "")
+
+
+def sound_code(word: Column, length: int = 4) -> Column:
+    """First letter, then the digits of the others, each only if it differs from the last one; zeros up to
+    ``length``.  Letters without a digit do not come between equal digits; no letter at all: zeros."""
+    w = _letters(word)
+    spelled = "".join(SOUNDS.values())
+    digits = F.translate(F.substring(w, 2, 1_000_000), spelled + "AEIOUHWY", "".join(d * len(x) for d, x in SOUNDS.items()))
+    return F.rpad(F.concat(F.substring(w, 1, 1), F.regexp_replace(digits, r"(\d)\1+", "$1")), length, "0")
+
+
+def metaphone(word: Column) -> Column:
+    """Simple phonetic spelling by fixed rules: PH F, SH X, TH 0, C before E, I or Y S and else K, H only at the
+    start or after a vowel, vowels only at the start, X KS; doubled sounds stay.
+
+    What is done is in lower case, so that no rule meets the result of another."""
+    w = _letters(word)
+    for pair, sound in (("PH", "f"), ("SH", "x"), ("TH", "0")):
+        w = F.replace(w, F.lit(pair), F.lit(sound))
+    w = F.regexp_replace(F.regexp_replace(w, "(^|[AEIOU])H", "$1h"), "H", "")
+    w = F.replace(F.regexp_replace(w, "C([EIY])", "s$1"), F.lit("C"), F.lit("k"))
+    w = F.concat(F.substring(w, 1, 1), F.translate(F.substring(w, 2, 1_000_000), "AEIOU", ""))
+    return F.upper(F.translate(F.replace(w, F.lit("X"), F.lit("ks")), "DGQVZ", "tkkfs"))
 
 
 def hybrid(a: Column, b: Column) -> Column:

@@ -128,3 +128,42 @@ def connection_url(kind: Column, user: Column, password: Column, host: Column, p
     scheme = F.when(kind == "postgresql", "postgresql").when(kind == "mysql", "mysql+pymysql").when(kind == "mssql", "mssql+pyodbc").otherwise(kind)
     default = F.when(kind == "postgresql", "5432").when(kind == "mysql", "3306").when(kind == "mssql", "1433")
     return F.concat(scheme, F.lit("://"), user, F.lit(":"), password, F.lit("@"), host, F.coalesce(F.concat(F.lit(":"), F.coalesce(port, default)), F.lit("")), F.lit("/"), database)
+
+
+def at_path(record: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON record, null where it leads nowhere."""
+    return F.get_json_object(record, "$." + path)
+
+
+def suggestion(answer: Column) -> Column:
+    """(method, confidence, reasoning) of a model's answer: its first JSON object, else ``key: value`` lines, else
+    manual at 0.5."""
+    inner = F.regexp_extract(answer, r"(?s)(\{.*?\})", 1)
+    parsed = F.when(F.try_parse_json(inner).isNotNull() & (inner != ""), inner)
+
+    def told(name: str, pattern: str) -> Column:
+        line = F.nullif(F.regexp_extract(answer, rf"(?im)\b{name}\b\W*[:=]\W*({pattern})", 1), F.lit(""))
+        return F.coalesce(F.get_json_object(parsed, f"$.{name}"), line)
+
+    return F.struct(F.coalesce(told("method", r"\w+"), F.lit("manual")).alias("method"), F.coalesce(told("confidence", r"[0-9.]+").try_cast("double"), F.lit(0.5)).alias("confidence"), F.coalesce(told("reasoning", r"[^\n]+"), F.lit("")).alias("reasoning"))
+
+
+def uptime(seconds: Column) -> Column:
+    """``3d 4h 5m``, without the days or hours that are none."""
+    s = seconds.cast("long")
+    days, hours, minutes = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60)
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
+    return F.concat_ws(" ", part(days, "d"), part(hours, "h"), F.concat(minutes.cast("string"), F.lit("m")))
+
+
+def short_date(at: Column) -> Column:
+    return F.date_format(at, "dd/MM/yyyy HH:mm")
+
+
+def sealed(text: Column, key: str) -> Column:
+    """Encrypted by AES-GCM under a key of 16, 24 or 32 bytes, in base64; the same text never comes out twice."""
+    return F.base64(F.aes_encrypt(text.cast("binary"), F.lit(key), F.lit("GCM")))
+
+
+def opened(sealed_text: Column, key: str) -> Column:
+    return F.aes_decrypt(F.unbase64(sealed_text), F.lit(key), F.lit("GCM")).cast("string")

@@ -8,18 +8,35 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Patterns by type, matched in either case.
 ENTITY_PATTERNS = {
-    "Bank": r"\b(?:ngân hàng|bank)\s+\w+",
-    "Person": r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b",
-    "Account": r"\b\d{10,14}\b",
-    "Money": r"\b\d+(?:[.,]\d+)*\s*(?:VND|USD|EUR)\b",
-    "Date": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
-    "Product": r"\b(?:loan|card|account|deposit)\s+\w+",
+    "Bank": r"\b(VietinBank|BIDV|Vietcombank|ACB|MB Bank|Techcombank|VPBank|HD Bank|TPBank|SeABank|VIB|OCB)\b",
+    "Person": r"\b([A-Z][a-z]+ [A-Z][a-z]+(?:\s[A-Z][a-z]+)?)\b",
+    "Account": r"\b(\d{10,14})\b",
+    "Money": r"\b(\d+(?:,\d+)*(?:\.\d+)?(?:\s?(?:VND|USD|triệu đồng|tỷ đồng)))\b",
+    "Date": r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b",
+    "Product": r"\b(thẻ tín dụng|thẻ ghi nợ|tiết kiệm|vay thế chấp|vay tín chấp|bảo hiểm nhân thọ|quỹ đầu tư)\b",
 }
-#: Relation of two types that stand in one sentence.
-PAIR_RELATIONS = {("Person", "Bank"): "works_at", ("Person", "Account"): "owns", ("Bank", "Product"): "offers", ("Account", "Bank"): "held_at", ("Person", "Product"): "uses", ("Money", "Account"): "deposited_in", ("Money", "Date"): "dated", ("Product", "Money"): "costs"}
+#: Relation of two types that stand in one sentence, in that order.
+PAIR_RELATIONS = {
+    ("Person", "Bank"): "associated_with",
+    ("Bank", "Person"): "serves",
+    ("Person", "Account"): "has_account",
+    ("Account", "Person"): "belongs_to",
+    ("Bank", "Product"): "offers",
+    ("Product", "Bank"): "offered_by",
+    ("Person", "Product"): "uses",
+    ("Product", "Person"): "used_by",
+}
+#: Fixed values: (pattern, type of the source, type of the target, relation), matched in either case.
+RELATION_PATTERNS = (
+    (r"(.*)\s(mở|có|sở hữu)\s(.*)\stại\s(.*)", "Person", "Account", "owns_account"),
+    (r"(.*)\s(chuyển|gửi)\s(.*)\scho\s(.*)", "Person", "Person", "transfers_money_to"),
+    (r"(.*)\s(là khách hàng của|sử dụng dịch vụ của)\s(.*)", "Person", "Bank", "is_customer_of"),
+    (r"(.*)\s(cung cấp|phát hành)\s(.*)\scho\s(.*)", "Bank", "Person", "provides_product_to"),
+)
 
 
 def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -93,7 +110,7 @@ def entity_values(docs: DataFrame, patterns: dict[str, str] = ENTITY_PATTERNS) -
     """(doc_id, entity_type, entity_text): every match of each pattern, without places, in the JVM."""
     out = None
     for kind, pattern in patterns.items():
-        rows = docs.select("doc_id", F.lit(kind).alias("entity_type"), F.explode(F.regexp_extract_all("text", F.lit(f"(?i)({pattern})"), F.lit(1))).alias("entity_text"))
+        rows = docs.select("doc_id", F.lit(kind).alias("entity_type"), F.explode(F.regexp_extract_all("text", F.lit(f"(?iuU){pattern}"), F.lit(0))).alias("entity_text"))
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -112,10 +129,24 @@ def entity_spans(chunks: DataFrame, patterns: dict[str, str] = ENTITY_PATTERNS,
 
 def sentences(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, sentence_no, start, end): spans between sentence ends, in the JVM."""
-    pieces = F.split("chunk", r"[.!?]", -1)
-    begins = F.aggregate(pieces, F.array(F.lit(0)), lambda done, p: F.array_append(done, F.element_at(done, -1) + F.length(p) + 1))
-    spans = F.zip_with(begins, pieces, lambda b, p: F.when(p.isNotNull(), F.struct(b.alias("start"), (b + F.length(p)).alias("end"))))
-    return chunks.select("doc_id", "chunk_index", F.posexplode(F.filter(spans, lambda s: s.isNotNull())).alias("sentence_no", "s")).select("doc_id", "chunk_index", "sentence_no", "s.start", "s.end")
+    pieces = chunks.select("doc_id", "chunk_index", F.posexplode(F.split("chunk", r"[.!?]", -1)).alias("sentence_no", "piece"))
+    sized = pieces.select("doc_id", "chunk_index", "sentence_no", F.length("piece").alias("size"))
+    upto = Window.partitionBy("doc_id", "chunk_index").orderBy("sentence_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = (F.sum("size").over(upto) + F.col("sentence_no")).cast("int")
+    return sized.select("doc_id", "chunk_index", "sentence_no", (end - F.col("size")).alias("start"), end.alias("end"))
+
+
+def relations_by_pattern(sentences: DataFrame) -> DataFrame:
+    """(doc_id, source_text, source_type, relationship_type, target_text, target_type, context): one relation for
+    each pattern that a line of (doc_id, sentence) matches.  A pattern without a fourth group has no context."""
+    out = None
+    line = sentences.select("doc_id", F.explode(F.split("sentence", "\n")).alias("line"))
+    for pattern, source, target, kind in RELATION_PATTERNS:
+        group = lambda i, p=f"(?iuU){pattern}": F.trim(F.regexp_extract("line", p, i))
+        context = group(4) if re.compile(pattern).groups >= 4 else F.lit("")
+        rows = line.where(F.col("line").rlike(f"(?iuU){pattern}")).select("doc_id", group(1).alias("source_text"), F.lit(source).alias("source_type"), F.lit(kind).alias("relationship_type"), group(3).alias("target_text"), F.lit(target).alias("target_type"), context.alias("context"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 def related_in_sentences(found: DataFrame, spans: DataFrame) -> DataFrame:

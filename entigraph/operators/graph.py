@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settled
+
 
 def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
     """(own, far, direction, *keep): each edge seen from either end; a self-loop once."""
@@ -30,14 +32,24 @@ def degrees(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, start: DataFrame, depth: int, types: tuple[str, ...] = ()) -> DataFrame:
     """(start, node, depth): nodes within ``depth`` undirected hops of each id of ``start``, at their
-    least depth; the start itself at depth 0."""
-    steps = both_ways(of_types(edges, types)).select("own", "far").distinct()
+    least depth; the start itself at depth 0.
+
+    Steps are made once, and each frontier is settled before the next hop, so no hop repeats an earlier
+    one.  A node that is new can only be told from those of the last two depths and itself: what a hop
+    reaches lies at most one depth back."""
     found = start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    front = found
+    steps = both_ways(of_types(edges, types)).select("own", "far").distinct()
+    if depth > 1:
+        steps, found = settled(steps), settled(found.distinct())
+    before, front = None, found
     for d in range(1, depth + 1):
         reached = front.join(steps, F.col("node") == F.col("own")).select("start", F.col("far").alias("node")).distinct()
-        front = reached.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
-        found = found.unionAll(front)
+        known = front.select("start", "node") if before is None else front.select("start", "node").unionAll(before.select("start", "node"))
+        new = reached.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
+        if d < depth:
+            new = settled(new)
+        found = found.unionAll(new)
+        before, front = front, new
     return found
 
 

@@ -12,9 +12,15 @@ from pyspark.sql.window import Window
 
 from ..functions.properties import differs
 from ..functions.similarity import levenshtein, sequence_ratio, severity, word_and_letter
+from ..session import settled
 
 #: Types that speak against each other.
-CONTRADICTIONS = {"OWNS": ("DOES_NOT_OWN", "SOLD"), "EMPLOYED_BY": ("UNEMPLOYED", "RETIRED"), "MARRIED_TO": ("DIVORCED_FROM", "SINGLE"), "PARENT_OF": ("CHILD_OF",)}
+CONTRADICTIONS = {
+    "EMPLOYED_BY": ("UNEMPLOYED", "RETIRED_FROM"),
+    "MARRIED_TO": ("DIVORCED_FROM", "SINGLE"),
+    "OWNS": ("SOLD", "DOES_NOT_OWN"),
+    "LOCATED_IN": ("NOT_LOCATED_IN", "MOVED_FROM"),
+}
 
 
 def keep_first(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -27,30 +33,57 @@ def resolve_exact(entities: DataFrame) -> DataFrame:
     return keep_first(entities, [F.lower("entity_text"), F.col("entity_type")], [F.desc("confidence"), F.asc("id")])
 
 
-def resolve_fuzzy(entities: DataFrame, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
-    """Greedy clusters in order of id: an entity joins the first leader of its block that it is alike to;
-    the most confident member stands for the cluster.
+def _alike(a: str, b: str, threshold: float) -> bool:
+    return 2 * min(len(a), len(b)) >= threshold * (len(a) + len(b)) and difflib.SequenceMatcher(None, a, b).ratio() >= threshold
 
-    The rule depends on order, so a block is read by one task; ``block`` (type and first three letters
-    by default) keeps blocks small."""
-    key = block if block is not None else F.concat_ws("|", "entity_type", F.substring(F.lower("entity_text"), 1, 3))
-    # equal texts are one item: their order decides nothing but the id
-    texts = entities.withColumn("_block", key).groupBy("_block", "entity_type", F.lower("entity_text").alias("_low")).agg(F.min_by("entity_text", "id").alias("entity_text"), F.min("id").alias("first_id"), F.max_by(F.struct("id", "confidence"), F.struct("confidence", F.col("id"))).alias("best"), F.count("*").alias("n"))
 
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_id")
+def greedy_leaders(items: DataFrame, threshold: float, batch: int = 128) -> DataFrame:
+    """(block, item, leader) from distinct (block, item, place): in order of place, an item joins the first
+    leader of its block that it is alike to by the sequence ratio, or becomes one.
+
+    Exact, and no block is read by one task: in each round the first ``batch`` undecided items of a block
+    settle among themselves, and all others are compared with the leaders that arise, before whom nobody
+    undecided stands.  Pairs whose lengths alone rule them out never reach Python."""
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         leaders: list[str] = []
         chosen = []
-        for text in pdf["_low"]:
-            at = next((i for i, other in enumerate(leaders) if 2 * min(len(text), len(other)) >= threshold * (len(text) + len(other)) and difflib.SequenceMatcher(None, other, text).ratio() >= threshold), None)
-            if at is None:
-                leaders.append(text)
-                at = len(leaders) - 1
-            chosen.append(leaders[at])
-        return pd.DataFrame({"entity_type": pdf["entity_type"], "leader": chosen, "id": [b["id"] for b in pdf["best"]], "confidence": [b["confidence"] for b in pdf["best"]], "n": pdf["n"]})
+        pdf = pdf.sort_values("place")
+        for item in pdf["item"]:
+            lead = next((x for x in leaders if _alike(x, item, threshold)), None)
+            if lead is None:
+                leaders.append(item)
+            chosen.append(item if lead is None else lead)
+        return pdf.assign(leader=chosen)[["block", "item", "place", "leader"]]
+
+    kinds = dict(items.dtypes)
+    done: list[DataFrame] = []
+    undecided = settled(items.select("block", "item", "place"))
+    order = Window.partitionBy("block").orderBy("place")
+    while not undecided.isEmpty():
+        head = undecided.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= batch).drop("_n")
+        first = settled(head.groupBy("block").applyInPandas(settle, f"block {kinds['block']}, item {kinds['item']}, place {kinds['place']}, leader {kinds['item']}"))
+        leaders = first.where("item = leader").select("block", F.col("item").alias("leader"), F.col("place").alias("leader_place"))
+        others = undecided.join(first.select("block", "item"), ["block", "item"], "left_anti")
+        la, lb = F.length("leader"), F.length("item")
+        near = others.join(leaders, "block").where(2 * F.least(la, lb) >= threshold * (la + lb)).where(sequence_ratio(F.col("leader"), F.col("item")) >= threshold)
+        joined = settled(near.groupBy("block", "item").agg(F.min_by("leader", "leader_place").alias("leader")))
+        done += [first.select("block", "item", "leader"), joined]
+        undecided = settled(others.join(joined.select("block", "item"), ["block", "item"], "left_anti"))
+    out = undecided.select("block", "item", F.col("item").alias("leader"))
+    for d in done:
+        out = out.unionAll(d)
+    return out
 
-    led = texts.groupBy("_block").applyInPandas(lead, "entity_type string, leader string, id string, confidence double, n long")
-    return led.groupBy("entity_type", "leader").agg(F.max_by("id", F.struct("confidence", "id")).alias("id"), F.max("confidence").alias("confidence"), F.sum("n").alias("n_merged"))
+
+def resolve_fuzzy(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(entity_type, leader, id, confidence, n_merged): greedy clusters per type, in order of id; the most
+    confident member, of several the largest id, stands for the cluster."""
+    # equal texts are one item: their order decides nothing but the id
+    texts = settled(entities.groupBy("entity_type", F.lower("entity_text").alias("item")).agg(F.min("id").alias("place"), F.max(F.struct("confidence", "id")).alias("best"), F.count("*").alias("n")))
+    led = greedy_leaders(texts.select(F.col("entity_type").alias("block"), "item", "place"), threshold)
+    both = texts.join(led.withColumnRenamed("block", "entity_type"), ["entity_type", "item"])
+    return both.groupBy("entity_type", "leader").agg(F.max("best").alias("b"), F.sum("n").alias("n_merged")).select("entity_type", "leader", "b.id", "b.confidence", "n_merged")
 
 
 def resolution_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -141,20 +174,10 @@ def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) ->
 
 
 def leader_clusters(items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(cluster, item): greedy leader clusters of ``items`` (block, item) by the sequence ratio, per block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        out = []
-        for item in sorted(set(pdf["item"])):
-            lead = next((x for x in leaders if difflib.SequenceMatcher(None, x, item).ratio() >= threshold), None)
-            if lead is None:
-                leaders.append(item)
-                lead = item
-            out.append((lead, item))
-        return pd.DataFrame(out, columns=["cluster", "item"])
-
-    return items.distinct().groupBy("block").applyInPandas(run, "cluster string, item string")
+    """(cluster, item): greedy leader clusters of ``items`` (block, item) by the sequence ratio, per block in
+    order of the item."""
+    led = greedy_leaders(items.select("block", "item").distinct().withColumn("place", F.col("item")), threshold)
+    return led.select(F.col("leader").alias("cluster"), "item")
 
 
 def keep_best(rows: DataFrame, keys: list, score: str, order: str) -> DataFrame:

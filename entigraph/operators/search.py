@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.similarity import cosine, levenshtein
+from ..functions.similarity import levenshtein
 
 
 def exact(entities: DataFrame, text: str, types: tuple[str, ...] = ()) -> DataFrame:
@@ -23,13 +29,67 @@ def fuzzy(entities: DataFrame, text: str, above: float = 0.5) -> DataFrame:
     return near.withColumn("score", levenshtein(F.lower("entity_text"), F.lower(F.lit(text)))).where(F.col("score") > above)
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:
-    """(query_id, vec_id, score): all rows at least that near to each row of ``queries``, by cosine.
+#: Query vectors that are sent to the executors at once, and numbers in them (32 MB).
+QUERY_ROWS, QUERY_NUMBERS = 65_536, 1 << 22
+
+
+def semantic(vectors: DataFrame, queries: DataFrame, least: float = 0.5, k: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score): all rows at least that near to each row of ``queries``, by cosine, or the
+    ``k`` nearest of them, ties to the smaller id.
+
+    ``queries`` is a stated set of query vectors, counted before it is sent; every row of ``vectors`` is
+    compared with it, a batch at a time, by a matrix product.  With ``k`` a batch keeps its own best, so what
+    is shuffled is bounded by the batches.  More queries go in several parts, by a hash of their ids."""
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("q")).where("q IS NOT NULL")
+    n, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
+    n_parts = max(1, -(-n // QUERY_ROWS), -(-numbers // QUERY_NUMBERS))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(n_parts))
+    found = None
+    for i in range(n_parts):
+        near = _near(vectors, asked.where(part == i) if n_parts > 1 else asked, least, k)
+        found = near if found is None else found.unionAll(near)
+    if k is None:
+        return found
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
+def _near(vectors: DataFrame, asked: DataFrame, least: float, k: int | None) -> DataFrame:
+    rows = asked.toArrow()
+    ids = rows.column("vec_id").to_numpy()
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    values = [np.asarray(v, float) for v in rows.column("q").to_pylist()]
+    for size in {len(v) for v in values}:
+        mine = [j for j, v in enumerate(values) if len(v) == size]
+        by_size[size] = (ids[mine], np.array([values[j] for j in mine]).reshape(len(mine), size))
+    sent = vectors.sparkSession.sparkContext.broadcast(by_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for size, (query_ids, q) in sent.value.items():
+                at = np.flatnonzero(sizes == size)
+                if not len(at) or not size:
+                    continue
+                v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), size)
+                for lo in range(0, len(at), 4096):
+                    yield _scored(own_ids[at[lo : lo + 4096]], v[lo : lo + 4096], query_ids, q)
+
+    def _scored(own: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        nv, nq = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+        score = q @ v.T
+        score /= np.maximum(nq, 1e-300)[:, None] * np.maximum(nv, 1e-300)[None]
+        score[(nq < 1e-8)[:, None] | (nv < 1e-8)[None]] = 0.0
+        keep = (score >= least) & (query_ids[:, None] != own[None])
+        if k is not None and len(own) > k:
+            # the k-th best of the batch bounds what it sends; all at that score go along
+            kth = -np.partition(np.where(keep, -score, np.inf), k - 1, axis=1)[:, k - 1 : k]
+            keep &= score >= kth
+        i, j = np.nonzero(keep)
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[i]), pa.array(own[j]), pa.array(score[i, j])], names=["query_id", "vec_id", "score"])
 
-    ``queries`` is a stated set of query vectors; every row of ``vectors`` is compared with it."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return scored.where(F.col("score") >= least)
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def top(scored: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:

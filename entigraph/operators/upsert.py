@@ -82,3 +82,28 @@ def save_version(df: DataFrame, folder: str, version: int) -> None:
 def rollback(spark, folder: str, version: int) -> DataFrame:
     """The table as it was at a version."""
     return spark.read.parquet(f"{folder}/version={version:08d}")
+
+
+def resolve_texts(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(mention, id): the entity of the same lower-cased text, else the smallest id whose text holds the mention
+    or is held by it, within a document: ``mentions`` (doc_id, mention), ``entities`` (doc_id, id, entity_text)."""
+    m = mentions.select("doc_id", "mention").distinct().withColumn("low", F.lower("mention"))
+    e = entities.select("doc_id", "id", F.lower("entity_text").alias("text"))
+    found = m.join(e, "doc_id").where(F.contains("text", "low") | F.contains("low", "text"))
+    return found.groupBy("doc_id", "mention").agg(F.min(F.struct((F.col("text") != F.col("low")).alias("part"), "id")).alias("b")).select("doc_id", "mention", F.col("b.id").alias("id"))
+
+
+def rolled_back(rows: DataFrame, actions: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with ``actions`` (seq, action, key, old) undone in reverse order: created rows go, deleted and
+    updated ones are as they were before their first action.  ``old`` holds the row's other columns."""
+    first = actions.groupBy(key).agg(F.min_by(F.struct("action", "old"), "seq").alias("f"))
+    kept = rows.join(first.select(key), key, "left_anti")
+    others = [F.col("f.old")[c].alias(c) for c in rows.columns if c != key]
+    back = first.where(F.col("f.action") != "create").select(key, *others).select(*rows.columns)
+    return kept.select(*rows.columns).unionByName(back)
+
+
+def inverse_actions(actions: DataFrame) -> DataFrame:
+    """(seq, id, inverse): what undoes each action, to be done from the highest seq down."""
+    inverse = F.when(F.col("action") == "create", "delete").when(F.col("action") == "delete", "create").otherwise("update")
+    return actions.select("seq", "id", inverse.alias("inverse"))

@@ -112,7 +112,7 @@ def g32(spark, sf):
 _SYM = ", sym AS (SELECT source_entity_id AS own, target_entity_id AS far, relationship_type FROM relationships UNION ALL SELECT target_entity_id, source_entity_id, relationship_type FROM relationships)"
 
 
-@register("p07_fixed_path", "SELECT a.source_entity_id AS n0, a.target_entity_id AS n1, b.target_entity_id AS n2 FROM relationships a JOIN relationships b ON b.source_entity_id = a.target_entity_id WHERE a.relationship_type = 'LOCATED_IN' AND b.relationship_type = 'LOCATED_IN' AND a.source_entity_id LIKE 's:%'", graph=True)
+@register("p07_fixed_path", "SELECT 's:' || s_suppkey AS n0, 'n:' || n_nationkey AS n1, 'r:' || r_regionkey AS n2 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def p07(spark, sf):
     return graph.fixed_path(relationships(spark, sf), entities(spark, sf).where("entity_type = 'ORGANIZATION'"), ("LOCATED_IN", "LOCATED_IN"))
 
@@ -178,7 +178,7 @@ def r01(spark, sf):
 
 @register("r02_fuzzy_resolution")
 def r02(spark, sf):
-    return resolve.resolve_fuzzy(entities(spark, sf).where("entity_type = 'PRODUCT'"))
+    return resolve.resolve_fuzzy(entities(spark, sf))
 
 
 @register("r04_resolution_statistics", "SELECT count(*) AS n_original, count(DISTINCT entity_type || '|' || lower(entity_text)) AS n_resolved, count(*) - count(DISTINCT entity_type || '|' || lower(entity_text)) AS n_merged FROM entities", graph=True)

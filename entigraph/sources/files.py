@@ -34,8 +34,8 @@ def decode(data: bytes) -> str:
         return data.decode("latin-1")
 
 
-def csv_text(data: bytes, most_rows: int = 100) -> str:
-    """``header: value | ...`` per row; blank cells and rows shorter than the header are left out."""
+def csv_text(data: bytes, most_rows: int | None = None) -> str:
+    """``header: value | ...`` per row, of all rows or the first ``most_rows``; blank cells and rows shorter than the header are left out."""
     rows = csv.reader(io.StringIO(decode(data)))
     header = next(rows, [])
     lines = []
@@ -47,8 +47,8 @@ def csv_text(data: bytes, most_rows: int = 100) -> str:
     return "\n".join(lines)
 
 
-def json_text(data: bytes, most_items: int = 50) -> str:
-    """Indented rendering; lists are cut at ``most_items`` and their items numbered."""
+def json_text(data: bytes, most_items: int | None = None) -> str:
+    """Indented rendering; items of lists are numbered, and cut at ``most_items`` if that is given."""
 
     def lines(value: Any, depth: int) -> Iterator[str]:
         pad = "  " * depth
@@ -86,8 +86,8 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(p for p in paragraphs if p.strip())
 
 
-def xlsx_text(data: bytes, most_rows: int = 100) -> str:
-    """Every sheet's first rows, cells that are filled joined by `` | ``."""
+def xlsx_text(data: bytes, most_rows: int | None = None) -> str:
+    """Every sheet's rows, or its first ``most_rows``, cells that are filled joined by `` | ``."""
     m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     book = zipfile.ZipFile(io.BytesIO(data))
     shared = []
@@ -133,32 +133,39 @@ PARSERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def parse(kind: str, data: bytes) -> tuple[str | None, str | None]:
-    """(text, error)."""
+def parse(kind: str, data: bytes, most_rows: int | None = None, most_items: int | None = None) -> tuple[str | None, str | None]:
+    """(text, error).  Rows of tables and items of lists are all kept unless a limit is given."""
     parser = PARSERS.get(kind)
     if parser is None:
         return None, f"unsupported file type: {kind}"
     try:
-        return parser(data), None
+        if parser in (csv_text, xlsx_text):
+            return parser(data, most_rows), None
+        return (json_text(data, most_items) if parser is json_text else parser(data)), None
     except Exception as e:  # a broken file is a row with an error, whatever broke
         return None, f"{type(e).__name__}: {e}"
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, pattern: str | None = None, most_rows: int | None = None, most_items: int | None = None) -> DataFrame:
     """path, size, modified, media_type, text, error of every file below ``path``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), media_type(F.col("path")).alias("media_type"), "content")
+    return parsed(files, most_rows, most_items)
+
+
+def parsed(files: DataFrame, most_rows: int | None = None, most_items: int | None = None) -> DataFrame:
+    """``files`` (path, size, modified, media_type, content) with text and error in place of the content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [parse(k, bytes(c)) for k, c in zip(pdf["media_type"], pdf["content"], strict=True)]
+            found = [parse(k, bytes(c), most_rows, most_items) for k, c in zip(pdf["media_type"], pdf["content"], strict=True)]
             yield pdf.drop(columns="content").assign(text=[f[0] for f in found], error=[f[1] for f in found])
 
-    parsed = files.mapInPandas(run, _OUT)
+    texts = files.select("path", "size", "modified", "media_type", "content").mapInPandas(run, _OUT)
     text = F.when(F.col("media_type") == "text/html", strip_html(F.col("text"))).when(F.col("media_type") == "text/markdown", strip_markdown(F.col("text"))).otherwise(F.col("text"))
-    return parsed.withColumn("text", text)
+    return texts.withColumn("text", text)
 
 
 def read_sql(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""RDF/XML ontologies as triples (s, p, o, n), parsed where the files are read."""
+"""RDF ontologies as triples (s, p, o, n): RDF/XML files parsed where they are read, N-Triples by line in the JVM."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 _TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -57,3 +58,20 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["s", "p", "o", "n"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "s string, p string, o string, n long")
+
+
+def n_triples(lines: DataFrame) -> DataFrame:
+    """Triples of (value, n), a line of N-Triples each.  Literals come without quotes, language and type; comments,
+    blank lines and lines that are no triple are left out."""
+    pattern = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+    bare = lambda c: F.regexp_replace(c, "^<(.*)>$", "$1")
+    literal = F.regexp_extract(F.regexp_extract("value", pattern, 3), r'^"((?:[^"\\]|\\.)*)"', 1)
+    for code, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
+        literal = F.replace(literal, F.lit(code), F.lit(char))
+    o = F.regexp_extract("value", pattern, 3)
+    return lines.where(F.col("value").rlike(pattern)).select(bare(F.regexp_extract("value", pattern, 1)).alias("s"), F.regexp_extract("value", pattern, 2).alias("p"), F.when(o.startswith('"'), literal).otherwise(bare(o)).alias("o"), "n")
+
+
+def read_n_triples(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of .nt files; ``n`` grows along each file."""
+    return n_triples(spark.read.text(path).withColumn("n", F.monotonically_increasing_id()))
