@@ -566,3 +566,15 @@ def x29(spark, sf):
     wanted = F.array(F.lit("admin"), F.lit("expert"))
     rows = _roles(spark, sf).withColumn("has", has)
     return rows.select("user_id", (F.col("role").isin("admin", "expert")).alias("has_any"), (F.size(F.array_except(wanted, "has")) == 0).alias("has_all"))
+
+
+_PAIRS = "('Anna Bell opened', '1000000000', 'has_account'), ('Anna Bell opened', 'BIDV', 'associated_with'), ('1000000000', 'at BIDV', 'belongs_to'), ('1000000000', 'BIDV', 'related_to'), ('at BIDV', 'BIDV', 'associated_with'), ('It cost', '5,000 USD', 'related_to'), ('It cost', '01/02/2024', 'related_to'), ('5,000 USD', 'USD on', 'related_to'), ('5,000 USD', '01/02/2024', 'related_to'), ('USD on', '01/02/2024', 'related_to')"
+
+
+@register("n12_related_told", f"SELECT c_custkey AS doc_id, a AS source_text, b AS target_text, k AS relationship_type FROM customer, (VALUES {_PAIRS}) v(a, b, k)")
+def n12_told(spark, sf):
+    """One account opening per customer, whose pairs were worked out by hand: entities of different types within
+    one sentence, in order of their places."""
+    text = F.lit("Anna Bell opened 1000000000 at BIDV. It cost 5,000 USD on 01/02/2024!")
+    chunks = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("chunk_index"), text.alias("chunk"))
+    return chunking.related_in_sentences(chunking.entity_spans(chunks), chunking.sentences(chunks)).select("doc_id", "source_text", "target_text", "relationship_type")
