@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, linededup, mixing, secrets, simhash, substrings, tokens, toxicity, warc
+from . import ann, decontaminate, linededup, mixing, secrets, simhash, substrings, tokens, toxicity, urlfilter, warc
 from .common import documents, shared_path
 
 
@@ -63,6 +63,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rules_of(urlfilter.NAMED, urlfilter.HOSTS))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_source": op2_warc_source,
@@ -74,10 +78,12 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLE = {
     "op2_warc_source": warc.ORACLE_SQL,
     "op3_secret_scan": secrets.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
+    "op13_url_filters": urlfilter.ORACLE_SQL,
 }
