@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, linededup, mixing, secrets, simhash, substrings, tokens, toxicity, urlfilter, warc
+from . import ann, clustering, decontaminate, lexical, linededup, mixing, secrets, simhash, substrings, tokens, toxicity, urlfilter, warc
 from .common import documents, shared_path
 
 
@@ -63,6 +63,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(documents(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, salt="1")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rules_of(urlfilter.NAMED, urlfilter.HOSTS))
 
@@ -78,6 +86,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_lexical_search": op12_lexical_search,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -85,5 +95,7 @@ ORACLE = {
     "op2_warc_source": warc.ORACLE_SQL,
     "op3_secret_scan": secrets.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
+    "op11_centroid_clustering": clustering.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
     "op13_url_filters": urlfilter.ORACLE_SQL,
 }
