@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.properties import differs
 from ..functions.similarity import levenshtein, sequence_ratio, severity, word_and_letter
 from ..session import settled
+from .alike import first_of, greedy_leaders
 
 #: Types that speak against each other.
 CONTRADICTIONS = {
@@ -33,57 +30,16 @@ def resolve_exact(entities: DataFrame) -> DataFrame:
     return keep_first(entities, [F.lower("entity_text"), F.col("entity_type")], [F.desc("confidence"), F.asc("id")])
 
 
-def _alike(a: str, b: str, threshold: float) -> bool:
-    return 2 * min(len(a), len(b)) >= threshold * (len(a) + len(b)) and difflib.SequenceMatcher(None, a, b).ratio() >= threshold
-
-
-def greedy_leaders(items: DataFrame, threshold: float, batch: int = 128) -> DataFrame:
-    """(block, item, leader) from distinct (block, item, place): in order of place, an item joins the first
-    leader of its block that it is alike to by the sequence ratio, or becomes one.
-
-    Exact, and no block is read by one task: in each round the first ``batch`` undecided items of a block
-    settle among themselves, and all others are compared with the leaders that arise, before whom nobody
-    undecided stands.  Pairs whose lengths alone rule them out never reach Python."""
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        chosen = []
-        pdf = pdf.sort_values("place")
-        for item in pdf["item"]:
-            lead = next((x for x in leaders if _alike(x, item, threshold)), None)
-            if lead is None:
-                leaders.append(item)
-            chosen.append(item if lead is None else lead)
-        return pdf.assign(leader=chosen)[["block", "item", "place", "leader"]]
-
-    kinds = dict(items.dtypes)
-    done: list[DataFrame] = []
-    undecided = settled(items.select("block", "item", "place"))
-    order = Window.partitionBy("block").orderBy("place")
-    while not undecided.isEmpty():
-        head = undecided.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= batch).drop("_n")
-        first = settled(head.groupBy("block").applyInPandas(settle, f"block {kinds['block']}, item {kinds['item']}, place {kinds['place']}, leader {kinds['item']}"))
-        leaders = first.where("item = leader").select("block", F.col("item").alias("leader"), F.col("place").alias("leader_place"))
-        others = undecided.join(first.select("block", "item"), ["block", "item"], "left_anti")
-        la, lb = F.length("leader"), F.length("item")
-        near = others.join(leaders, "block").where(2 * F.least(la, lb) >= threshold * (la + lb)).where(sequence_ratio(F.col("leader"), F.col("item")) >= threshold)
-        joined = settled(near.groupBy("block", "item").agg(F.min_by("leader", "leader_place").alias("leader")))
-        done += [first.select("block", "item", "leader"), joined]
-        undecided = settled(others.join(joined.select("block", "item"), ["block", "item"], "left_anti"))
-    out = undecided.select("block", "item", F.col("item").alias("leader"))
-    for d in done:
-        out = out.unionAll(d)
-    return out
-
-
 def resolve_fuzzy(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(entity_type, leader, id, confidence, n_merged): greedy clusters per type, in order of id; the most
-    confident member, of several the largest id, stands for the cluster."""
+    confident member, the earliest of several, stands for the cluster."""
     # equal texts are one item: their order decides nothing but the id
-    texts = settled(entities.groupBy("entity_type", F.lower("entity_text").alias("item")).agg(F.min("id").alias("place"), F.max(F.struct("confidence", "id")).alias("best"), F.count("*").alias("n")))
+    survivor = first_of(F.col("confidence"), F.col("id"), F.col("id"), F.col("confidence")).alias("best")
+    texts = settled(entities.groupBy("entity_type", F.lower("entity_text").alias("item")).agg(F.min("id").alias("place"), survivor, F.count("*").alias("n")))
     led = greedy_leaders(texts.select(F.col("entity_type").alias("block"), "item", "place"), threshold)
     both = texts.join(led.withColumnRenamed("block", "entity_type"), ["entity_type", "item"])
-    return both.groupBy("entity_type", "leader").agg(F.max("best").alias("b"), F.sum("n").alias("n_merged")).select("entity_type", "leader", "b.id", "b.confidence", "n_merged")
+    best = first_of(F.col("best.confidence"), F.col("best.id"), F.col("best.id"), F.col("best.confidence")).alias("b")
+    return both.groupBy("entity_type", "leader").agg(best, F.sum("n").alias("n_merged")).select("entity_type", "leader", "b.id", "b.confidence", "n_merged")
 
 
 def resolution_statistics(before: DataFrame, after: DataFrame) -> DataFrame:

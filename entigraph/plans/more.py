@@ -240,7 +240,7 @@ def p13(spark, sf):
 
 @register("r05_leader_clusters")
 def r05(spark, sf):
-    names = table(spark, sf, "part").select(F.substring("p_name", 1, 1).alias("block"), F.col("p_name").alias("item"))
+    names = table(spark, sf, "part").select(F.lit("part").alias("block"), F.col("p_name").alias("item"))
     return resolve.leader_clusters(names)
 
 
