@@ -79,9 +79,9 @@ def _met(long: DataFrame, short: DataFrame, t: float, strictly: bool) -> DataFra
     return a.join(b, ["block", "gram"]).where(fits).select("block", F.col("a_place").alias("p_long"), F.col("b_place").alias("p_short"))
 
 
-def pairs(leaders: DataFrame, others: DataFrame, t: float) -> DataFrame:
-    """(block, leader, leader_place, item, place): all pairs of ``measured`` texts of a block, the leader's place being
-    the smaller one, whose ratio is ``t`` or more."""
+def near_pairs(leaders: DataFrame, others: DataFrame, t: float) -> DataFrame:
+    """(block, leader, leader_place, item, place): pairs of ``measured`` texts of a block, the leader's place being the
+    smaller one: all whose ratio is ``t`` or more, and few others."""
     _above_half(t)
     one = _met(_pieces(leaders, t), _grams(others, t), t, strictly=False).select("block", F.col("p_long").alias("leader_place"), F.col("p_short").alias("place"))
     two = _met(_pieces(others, t), _grams(leaders, t), t, strictly=True).select("block", F.col("p_short").alias("leader_place"), F.col("p_long").alias("place"))
@@ -89,7 +89,16 @@ def pairs(leaders: DataFrame, others: DataFrame, t: float) -> DataFrame:
     texts = met.join(leaders.select("block", F.col("place").alias("leader_place"), F.col("item").alias("leader")), ["block", "leader_place"]).join(others.select("block", "place", "item"), ["block", "place"])
     size = "(length(leader) + length(item))"
     near = texts.where(f"levenshtein(leader, item, cast(floor({1 - t!r}D * {size} + {_EPS}D) as int)) >= 0")
-    return near.where(sequence_ratio(F.col("leader"), F.col("item")) >= t).select("block", "leader", "leader_place", "item", "place")
+    return near.select("block", "leader", "leader_place", "item", "place")
+
+
+def alike(near: DataFrame, t: float) -> DataFrame:
+    return near.where(sequence_ratio(F.col("leader"), F.col("item")) >= t)
+
+
+def pairs(leaders: DataFrame, others: DataFrame, t: float) -> DataFrame:
+    """As ``near_pairs``, but only those whose ratio is ``t`` or more."""
+    return alike(near_pairs(leaders, others, t), t)
 
 
 def _above_half(t: float) -> None:
@@ -116,16 +125,16 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(leader_place=out)[["block", "item", "place", "leader_place"]]
 
 
-def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_most: int = 50_000_000, batch_most: int = 1 << 16) -> DataFrame:
+def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_most: int = 50_000_000, pairs_most: int = 200_000, batch_most: int = 1 << 16) -> DataFrame:
     """(block, item, leader) from distinct (block, item, place), places being distinct in a block: in order of place, an
     item joins the first leader of its block that it is alike to, or becomes one.
 
     Exact, in rounds.  The first undecided texts of each block, the head, are joined with themselves, and leaders
     peeled from the pairs; then all others are joined with these leaders alone, and those that are alike to one are
-    decided (nobody undecided stands before a leader).  The head grows fourfold a round as long as its own join
-    has at most ``work_most`` candidates, and shrinks beyond that: many texts that are alike fall to
-    few leaders first and never meet each other, while unlike texts are done in few rounds.  A head has at most
-    ``batch_most`` texts, and a block's head is peeled by one task."""
+    decided (nobody undecided stands before a leader).  The head grows fourfold a round while its own join is
+    far from ``work_most`` meetings of pieces and grams and ``pairs_most`` pairs to measure, and shrinks beyond those:
+    many texts that are alike fall to few leaders first and never meet each other, while unlike texts are done in
+    few rounds.  A head has at most ``batch_most`` texts, and a block's head is peeled by one task."""
     _above_half(threshold)
     kinds = dict(items.dtypes)
     undecided = settled(measured(items))
@@ -136,18 +145,23 @@ def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_mo
         placed = undecided.withColumn("_nth", F.row_number().over(order))
         while True:
             head = settled(placed.where(F.col("_nth") <= batch).drop("_nth"))
-            if batch <= 16 or _work(head, threshold) <= work_most:
-                break
+            work, n_near = _work(head, threshold), 0
+            if work <= work_most or batch <= 16:
+                near = settled(near_pairs(head, head, threshold))
+                n_near = near.count()
+                if n_near <= pairs_most or batch <= 16:
+                    break
             batch = max(16, batch // 4)
-        near = pairs(head, head, threshold).groupBy("block", "place").agg(F.collect_list("leader_place").alias("near"))
-        first = settled(head.select("block", "item", "place").join(near, ["block", "place"], "left").select("block", "item", "place", "near").groupBy("block").applyInPandas(_settle, peeled))
+        met = alike(near, threshold).groupBy("block", "place").agg(F.collect_list("leader_place").alias("near"))
+        first = settled(head.select("block", "item", "place").join(met, ["block", "place"], "left").select("block", "item", "place", "near").groupBy("block").applyInPandas(_settle, peeled))
         leaders = head.join(first.where("place = leader_place").select("block", "place"), ["block", "place"], "left_semi").select(*head.columns)
         done.append(first.join(leaders.select("block", F.col("place").alias("leader_place"), F.col("item").alias("leader")), ["block", "leader_place"]).select("block", "item", "leader"))
         others = undecided.join(head.select("block", "place"), ["block", "place"], "left_anti").select(*undecided.columns)
         joined = settled(pairs(leaders, others, threshold).groupBy("block", "place").agg(F.min_by(F.struct("leader", "item"), "leader_place").alias("m")).select("block", "place", "m.item", "m.leader"))
         done.append(joined.select("block", "item", "leader"))
         undecided = settled(others.join(joined.select("block", "place"), ["block", "place"], "left_anti").select(*undecided.columns))
-        batch = min(batch * 4, batch_most)
+        if 16 * work <= work_most and 16 * n_near <= pairs_most:
+            batch = min(batch * 4, batch_most)
     out = undecided.select("block", "item", F.col("item").alias("leader"))
     for d in done:
         out = out.unionAll(d)
