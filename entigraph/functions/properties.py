@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .similarity import levenshtein, word_and_letter
+from .similarity import levenshtein, mean_ratio, word_and_letter
 
 _NO_MAP = "cast(map() AS map<string,string>)"
 
@@ -50,6 +50,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0) | (F.size(keys) == 0), 0.0).otherwise(mean * share)
 
 
+def mean_likeness(a: Column, b: Column) -> Column:
+    """Mean sequence ratio of the values of common keys; both empty: 1; one empty, or nothing in common: 0."""
+    a, b = F.coalesce(a, F.expr(_NO_MAP)), F.coalesce(b, F.expr(_NO_MAP))
+    keys = F.array_sort(common_keys(a, b))
+    values = lambda m: F.transform(keys, lambda k: F.coalesce(m[k], F.lit("None")))
+    mean = mean_ratio(values(a), values(b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(F.size(keys) == 0, 0.0).otherwise(mean)
+
+
 def prompt_text(text: Column, properties: Column) -> Column:
     """The text followed by ``key: value`` of each property in key order: what an embedding is made of."""
     entries = F.array_sort(F.transform(F.map_entries(properties), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))

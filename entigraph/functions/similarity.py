@@ -104,6 +104,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(DoubleType())
+def mean_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Mean sequence ratio of the texts that stand opposite each other in two lists; 0 for empty lists."""
+
+    def mean(xs: list[str], ys: list[str]) -> float:
+        ratios = [1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(xs, ys, strict=True)]
+        return sum(ratios) / len(ratios) if ratios else 0.0
+
+    return pd.Series([mean(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def _jaro(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -169,8 +180,8 @@ def metaphone(word: Column) -> Column:
     w = _letters(word)
     for pair, sound in (("PH", "f"), ("SH", "x"), ("TH", "0")):
         w = F.replace(w, F.lit(pair), F.lit(sound))
-    w = F.regexp_replace(F.regexp_replace(w, "(^|[AEIOU])H", "$1h"), "H", "")
-    w = F.replace(F.regexp_replace(w, "C([EIY])", "s$1"), F.lit("C"), F.lit("k"))
+    w = F.replace(F.regexp_replace(w, "C(?=[EIY])", "s"), F.lit("C"), F.lit("k"))
+    w = F.regexp_replace(F.regexp_replace(w, "(^|(?<=[AEIOU]))H", "h"), "H", "")
     w = F.concat(F.substring(w, 1, 1), F.translate(F.substring(w, 2, 1_000_000), "AEIOU", ""))
     return F.upper(F.translate(F.replace(w, F.lit("X"), F.lit("ks")), "DGQVZ", "tkkfs"))
 

@@ -11,6 +11,9 @@ Thresholds have to be above 0.5 (below, the pieces have no characters).
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -113,6 +116,14 @@ def _work(items: DataFrame, t: float) -> int:
     return int(a.join(b, ["block", "gram"]).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0)
 
 
+def _few(leaders: DataFrame, others: DataFrame, t: float) -> DataFrame:
+    """As ``near_pairs``, for leaders that are few enough to be sent to all tasks: no pieces, one pass over the others."""
+    a = leaders.select("block", F.col("item").alias("leader"), F.col("place").alias("leader_place"), *[F.col(c).alias(f"a_{c}") for c in ("n", "low", "high", "over")])
+    fits = f"""leader_place < place AND 2 * least(a_n, n) >= {t!r}D * (a_n + n) - {_EPS}D
+        AND bit_count(a_low & low) + bit_count(a_high & high) + least(a_over, over) >= {t!r}D * (a_n + n) / 2 - {_EPS}D"""
+    return others.join(F.broadcast(a), "block").where(fits).select("block", "leader", "leader_place", "item", "place")
+
+
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy leaders of one block's head, from each text's earlier neighbours."""
     pdf = pdf.sort_values("place")
@@ -125,42 +136,80 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(leader_place=out)[["block", "item", "place", "leader_place"]]
 
 
+def _settle_small(t: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The same for a small head, from the texts themselves."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        leaders: list[tuple] = []
+        out = []
+        for place, item, n, low, high, over in zip(pdf["place"], pdf["item"], pdf["n"], pdf["low"], pdf["high"], pdf["over"], strict=True):
+            for at, other, m, lo, hi, more in leaders:
+                least = t * (n + m) / 2 - _EPS
+                if min(n, m) >= least and (low & lo).bit_count() + (high & hi).bit_count() + min(over, more) >= least and difflib.SequenceMatcher(None, other, item).ratio() >= t:
+                    out.append(at)
+                    break
+            else:
+                leaders.append((place, item, n, low, high, over))
+                out.append(place)
+        return pdf.assign(leader_place=out)[["block", "item", "place", "leader_place"]]
+
+    def unsigned(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = {c: [int(x) & (1 << 64) - 1 for x in pdf[c]] for c in ("low", "high")}
+        return run(pdf.assign(**{c: pd.Series(v, dtype=object, index=pdf.index) for c, v in bits.items()}))
+
+    return unsigned
+
+
+#: Leaders and characters that are sent to all tasks at most.
+_FEW_LEADERS, _FEW_CHARS = 1024, 4 << 20
+
+
 def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_most: int = 50_000_000, pairs_most: int = 200_000, batch_most: int = 1 << 16) -> DataFrame:
     """(block, item, leader) from distinct (block, item, place), places being distinct in a block: in order of place, an
     item joins the first leader of its block that it is alike to, or becomes one.
 
-    Exact, in rounds.  The first undecided texts of each block, the head, are joined with themselves, and leaders
-    peeled from the pairs; then all others are joined with these leaders alone, and those that are alike to one are
-    decided (nobody undecided stands before a leader).  The head grows fourfold a round while its own join is
-    far from ``work_most`` meetings of pieces and grams and ``pairs_most`` pairs to measure, and shrinks beyond those:
-    many texts that are alike fall to few leaders first and never meet each other, while unlike texts are done in
-    few rounds.  A head has at most ``batch_most`` texts, and a block's head is peeled by one task."""
+    Exact, in rounds.  The first undecided texts of each block, the head, settle among themselves; then all others
+    are joined with the leaders that arise, and those that are alike to one are decided (nobody undecided stands
+    before a leader).  A head of up to 256 texts is settled directly.  It grows fourfold a round while most of it
+    become leaders; a larger one is joined with itself over pieces, and grows only while that join is
+    far from ``work_most`` meetings of pieces and grams and ``pairs_most`` pairs to measure, and shrinks beyond those.
+    So many texts that are alike fall to few leaders first and never meet each other, while unlike texts are done in
+    few rounds.  A head has at most ``batch_most`` texts, and a block's head is settled by one task."""
     _above_half(threshold)
     kinds = dict(items.dtypes)
     undecided = settled(measured(items))
     order = Window.partitionBy("block").orderBy("place")
-    peeled = f"block {kinds['block']}, item {kinds['item']}, place {kinds['place']}, leader_place {kinds['place']}"
+    shape = f"block {kinds['block']}, item {kinds['item']}, place {kinds['place']}, leader_place {kinds['place']}"
     done: list[DataFrame] = []
     while not undecided.isEmpty():
         placed = undecided.withColumn("_nth", F.row_number().over(order))
         while True:
-            head = settled(placed.where(F.col("_nth") <= batch).drop("_nth"))
-            work, n_near = _work(head, threshold), 0
-            if work <= work_most or batch <= 16:
+            head = placed.where(F.col("_nth") <= batch).drop("_nth")
+            if batch <= 256:
+                first = settled(head.groupBy("block").applyInPandas(_settle_small(threshold), shape))
+                break
+            head = settled(head)
+            work = _work(head, threshold)
+            if work <= work_most:
                 near = settled(near_pairs(head, head, threshold))
                 n_near = near.count()
-                if n_near <= pairs_most or batch <= 16:
+                if n_near <= pairs_most:
+                    met = alike(near, threshold).groupBy("block", "place").agg(F.collect_list("leader_place").alias("near"))
+                    with_near = head.select("block", "item", "place").join(met, ["block", "place"], "left").select("block", "item", "place", "near")
+                    first = settled(with_near.groupBy("block").applyInPandas(_settle, shape))
                     break
-            batch = max(16, batch // 4)
-        met = alike(near, threshold).groupBy("block", "place").agg(F.collect_list("leader_place").alias("near"))
-        first = settled(head.select("block", "item", "place").join(met, ["block", "place"], "left").select("block", "item", "place", "near").groupBy("block").applyInPandas(_settle, peeled))
-        leaders = head.join(first.where("place = leader_place").select("block", "place"), ["block", "place"], "left_semi").select(*head.columns)
+            batch = max(256, batch // 4)
+        leaders = undecided.join(first.where("place = leader_place").select("block", "place"), ["block", "place"], "left_semi").select(*undecided.columns)
         done.append(first.join(leaders.select("block", F.col("place").alias("leader_place"), F.col("item").alias("leader")), ["block", "leader_place"]).select("block", "item", "leader"))
-        others = undecided.join(head.select("block", "place"), ["block", "place"], "left_anti").select(*undecided.columns)
-        joined = settled(pairs(leaders, others, threshold).groupBy("block", "place").agg(F.min_by(F.struct("leader", "item"), "leader_place").alias("m")).select("block", "place", "m.item", "m.leader"))
+        others = undecided.join(first.select("block", "place"), ["block", "place"], "left_anti").select(*undecided.columns)
+        size = first.agg(F.count("*").alias("n"), F.count_if(F.expr("place = leader_place")).alias("leaders"), F.sum(F.length("item")).alias("chars")).first()
+        few = size.leaders <= _FEW_LEADERS and size.chars <= _FEW_CHARS
+        met = alike((_few if few else near_pairs)(leaders, others, threshold), threshold)
+        joined = settled(met.groupBy("block", "place").agg(F.min_by(F.struct("leader", "item"), "leader_place").alias("m")).select("block", "place", "m.item", "m.leader"))
         done.append(joined.select("block", "item", "leader"))
         undecided = settled(others.join(joined.select("block", "place"), ["block", "place"], "left_anti").select(*undecided.columns))
-        if 16 * work <= work_most and 16 * n_near <= pairs_most:
+        if 4 * size.leaders >= size.n and (batch <= 256 or 16 * work <= work_most and 16 * n_near <= pairs_most):
             batch = min(batch * 4, batch_most)
     out = undecided.select("block", "item", F.col("item").alias("leader"))
     for d in done:

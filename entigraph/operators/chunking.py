@@ -107,12 +107,10 @@ def records_in_chunks(rows: DataFrame, key: str, each: int = 50) -> DataFrame:
 
 
 def entity_values(docs: DataFrame, patterns: dict[str, str] = ENTITY_PATTERNS) -> DataFrame:
-    """(doc_id, entity_type, entity_text): every match of each pattern, without places, in the JVM."""
-    out = None
-    for kind, pattern in patterns.items():
-        rows = docs.select("doc_id", F.lit(kind).alias("entity_type"), F.explode(F.regexp_extract_all("text", F.lit(f"(?iuU){pattern}"), F.lit(0))).alias("entity_text"))
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    """(doc_id, entity_type, entity_text): every match of each pattern, without places, in the JVM and in one scan."""
+    typed = lambda kind: lambda x: F.struct(F.lit(kind).alias("entity_type"), x.alias("entity_text"))
+    found = [F.transform(F.regexp_extract_all("text", F.lit(f"(?iuU){pattern}"), F.lit(0)), typed(kind)) for kind, pattern in patterns.items()]
+    return docs.select("doc_id", F.explode(F.concat(*found)).alias("e")).select("doc_id", "e.entity_type", "e.entity_text")
 
 
 def entity_spans(chunks: DataFrame, patterns: dict[str, str] = ENTITY_PATTERNS, confidence: float = 0.6) -> DataFrame:
@@ -136,17 +134,35 @@ def sentences(chunks: DataFrame) -> DataFrame:
     return sized.select("doc_id", "chunk_index", "sentence_no", (end - F.col("size")).alias("start"), end.alias("end"))
 
 
-def relations_by_pattern(sentences: DataFrame) -> DataFrame:
-    """(doc_id, source_text, source_type, relationship_type, target_text, target_type, context): one relation for
-    each pattern that a line of (doc_id, sentence) matches.  A pattern without a fourth group has no context."""
-    out = None
-    line = sentences.select("doc_id", F.explode(F.split("sentence", "\n")).alias("line"))
+def _ends_of(about: list[Column]) -> Callable[[Column, Column], Column]:
+    return lambda s, t: F.struct(F.lower(F.trim(s)).alias("source"), F.lower(F.trim(t)).alias("target"), *about)
+
+
+def relations_by_pattern(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, source_text, target_text, relationship_type, confidence): relations told by a verb.
+
+    A pattern needs four groups to tell one; its first and third are the ends, and each end has to be matched with an
+    entity of its type in the chunk: the first whose text is the same, else the first that contains the end or is
+    contained in it, in either case.  ``found`` holds doc_id, chunk_index, entity_text, entity_type, start_position.
+    Chunks are read once; patterns are tried only where their verb stands."""
+    told = []
     for pattern, source, target, kind in RELATION_PATTERNS:
-        group = lambda i, p=f"(?iuU){pattern}": F.trim(F.regexp_extract("line", p, i))
-        context = group(4) if re.compile(pattern).groups >= 4 else F.lit("")
-        rows = line.where(F.col("line").rlike(f"(?iuU){pattern}")).select("doc_id", group(1).alias("source_text"), F.lit(source).alias("source_type"), F.lit(kind).alias("relationship_type"), group(3).alias("target_text"), F.lit(target).alias("target_type"), context.alias("context"))
-        out = rows if out is None else out.unionAll(rows)
-    return out
+        if re.compile(pattern).groups < 4:
+            continue
+        verb = re.search(r"\\s\([^()]*\)\\s", pattern)[0]
+        group = lambda i, p=f"(?iuUd){pattern}": F.regexp_extract_all("chunk", F.lit(p), F.lit(i))
+        about = [F.lit(source).alias("source_type"), F.lit(target).alias("target_type"), F.lit(kind).alias("relationship_type")]
+        ends = F.zip_with(group(1), group(3), _ends_of(about))
+        told.append(F.when(F.col("chunk").rlike(f"(?iuU){verb}"), ends))
+    rows = chunks.select("doc_id", "chunk_index", F.posexplode(F.flatten(F.filter(F.array(*told), lambda x: x.isNotNull()))).alias("nth", "r")).select("doc_id", "chunk_index", "nth", "r.*")
+    for end in ("source", "target"):
+        own = found.select("doc_id", "chunk_index", F.col("entity_type").alias(f"{end}_type"), "entity_text", "start_position")
+        text = F.lower("entity_text")
+        fits = (text == F.col(end)) | F.contains(text, F.col(end)) | F.contains(F.col(end), text)
+        met = rows.join(own, ["doc_id", "chunk_index", f"{end}_type"]).where(fits)
+        first = F.min_by("entity_text", F.struct(text != F.col(end), F.col("start_position"))).alias(f"{end}_text")
+        rows = met.groupBy(*rows.columns).agg(first)
+    return rows.select("doc_id", "chunk_index", "source_text", "target_text", "relationship_type", F.lit(0.6).alias("confidence"))
 
 
 def related_in_sentences(found: DataFrame, spans: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.properties import differs
-from ..functions.similarity import levenshtein, sequence_ratio, severity, word_and_letter
+from ..functions.similarity import severity
 from ..session import settled
 from .alike import first_of, greedy_leaders
+from .blocking import classes, similar_classes
 
 #: Types that speak against each other.
 CONTRADICTIONS = {
@@ -56,33 +56,12 @@ def candidate_pairs(entities: DataFrame, block: list[str], ordered: bool = True)
 
 
 def duplicates(entities: DataFrame, block: list[str], least: float = 0.8) -> DataFrame:
-    """(a_id, b_id, score, severity) by words and letters."""
-    scored = candidate_pairs(entities, block).withColumn("score", word_and_letter(F.col("a_entity_text"), F.col("b_entity_text")))
-    return scored.where(F.col("score") >= least).select("a_id", "b_id", "score", severity(F.col("score")).alias("severity"))
-
-
-def duplicates_by_mean(entities: DataFrame, block: list[str], least: float = 0.85) -> DataFrame:
-    """Duplicates by the mean of the exact, the edit-distance and the sequence score.
-
-    Pairs whose lengths alone rule the score out never reach Python."""
-    x, y = F.lower("a_entity_text"), F.lower("b_entity_text")
-    bound = 2.0 * F.least(F.length(x), F.length(y)) / F.greatest(F.length(x) + F.length(y), F.lit(1))
-    near = candidate_pairs(entities, block).where((1.0 + 2 * bound) / 3 >= least)
-    scored = near.withColumn("score", ((x == y).cast("double") + levenshtein(x, y) + sequence_ratio(x, y)) / 3)
-    return scored.where(F.col("score") >= least).select("a_id", "b_id", "score", severity(F.col("score")).alias("severity"))
-
-
-def conflicts_of(entities: DataFrame, block: list[str], least: float = 0.8, most: int = 5) -> DataFrame:
-    """(entity_id, other_id, conflict_type, score): per entity the ``most`` highest conflicts.
-
-    Alike texts are possible duplicates; else common properties that differ are inconsistent, at 0.7."""
-    pairs = candidate_pairs(entities, block, ordered=False).withColumn("text_score", word_and_letter(F.col("a_entity_text"), F.col("b_entity_text")))
-    kind = F.when(F.col("text_score") >= least, "possible_duplicate")
-    if "properties" in entities.columns:
-        kind = kind.when(differs(F.col("a_properties"), F.col("b_properties")), "inconsistent_attributes")
-    found = pairs.withColumn("conflict_type", kind).where("conflict_type IS NOT NULL").withColumn("score", F.when(F.col("conflict_type") == "possible_duplicate", F.col("text_score")).otherwise(0.7))
-    best = Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
-    return found.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= most).select(F.col("a_id").alias("entity_id"), F.col("b_id").alias("other_id"), "conflict_type", "score")
+    """(a_id, b_id, score, severity) by words and letters: every pair of entities, from pairs of their texts."""
+    of = classes(entities, block)
+    near = similar_classes(of, least).unionByName(of.where("n > 1").select("block", F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("score")))
+    side = lambda s: entities.select(F.struct(*block).alias("block"), F.lower("entity_text").alias(s), F.col("id").alias(f"{s}_id"))
+    pairs = near.join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"]).where("a <> b OR a_id < b_id")
+    return pairs.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "score", severity(F.col("score")).alias("severity"))
 
 
 def contradictions(edges: DataFrame) -> DataFrame:

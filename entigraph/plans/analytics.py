@@ -190,12 +190,6 @@ def r04(spark, sf):
 _WL = "CASE WHEN lower(a.n) = lower(b.n) THEN 1 ELSE (CAST(len(list_intersect(list_distinct(string_split(lower(a.n), ' ')), list_distinct(string_split(lower(b.n), ' ')))) AS DOUBLE) / len(list_distinct(list_concat(string_split(lower(a.n), ' '), string_split(lower(b.n), ' ')))) + jaccard(lower(a.n), lower(b.n))) / 2 END"
 
 
-@register("r06_conflicts", f"WITH s AS (SELECT 's:' || s_suppkey AS id, s_name AS n, s_nationkey AS g FROM supplier), p AS (SELECT a.id AS entity_id, b.id AS other_id, {_WL} AS score FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, other_id) AS k FROM p WHERE score >= 0.35) SELECT entity_id, other_id, 'possible_duplicate' AS conflict_type, round(score, 6) AS score FROM r WHERE k <= 5")
-def r06(spark, sf):
-    s = table(spark, sf, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("entity_text"), F.col("s_nationkey").alias("nation"))
-    return resolve.conflicts_of(s, ["nation"], least=0.35).withColumn("score", F.round("score", 6))
-
-
 @register("r07_new_conflicts", "SELECT o_orderkey AS entity_id, o_custkey AS other_id FROM orders WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders k WHERE k.o_orderpriority = '1-URGENT' AND least(k.o_orderkey, k.o_custkey) = least(orders.o_orderkey, orders.o_custkey) AND greatest(k.o_orderkey, k.o_custkey) = greatest(orders.o_orderkey, orders.o_custkey))")
 def r07(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_custkey").alias("other_id"), "o_orderstatus", "o_orderpriority")
@@ -203,12 +197,6 @@ def r07(spark, sf):
     return resolve.new_conflicts(o.where("o_orderstatus = 'F'").select("entity_id", "other_id"), known)
 
 
-@register("r09_duplicates_by_mean")
-def r09(spark, sf):
-    s = table(spark, sf, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("entity_text"), F.col("s_nationkey").alias("nation"))
-    return resolve.duplicates_by_mean(s, ["nation"], least=0.6)
-
-
 @register("r10_contradictions", "SELECT count(*) AS n, round(sum(least(ac, bc)), 6) AS total FROM (SELECT CAST(a.o_orderkey % 100 AS DOUBLE) / 100 AS ac, CAST(b.o_orderkey % 100 AS DOUBLE) / 100 AS bc FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND CAST(a.o_orderkey AS VARCHAR) < CAST(b.o_orderkey AS VARCHAR) WHERE (a.o_orderstatus = 'O' AND b.o_orderstatus = 'F') OR (a.o_orderstatus = 'F' AND b.o_orderstatus = 'O')) x")
 def r10(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("source_entity_id"), F.lit("x").alias("target_entity_id"), F.when(F.col("o_orderstatus") == "O", "OWNS").when(F.col("o_orderstatus") == "F", "SOLD").otherwise("OTHER").alias("relationship_type"), ((F.col("o_orderkey") % 100) / 100.0).alias("confidence"))

@@ -58,18 +58,6 @@ def d08(spark, sf):
     return query.with_endpoints(relationships(spark, sf), entities(spark, sf)).select("id", "source_type", "target_type")
 
 
-@register("d10_same_block_pairs", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
-def d10(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"))
-    return resolve.candidate_pairs(s, ["g"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-
-@register("d11_all_others_of_block", "SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
-def d11(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"))
-    return resolve.candidate_pairs(s, ["g"], ordered=False).groupBy(F.col("a_id").alias("a")).agg(F.count("*").alias("n"))
-
-
 @register("d15_lowered_key_join", "SELECT id, CASE WHEN lower(entity_type) = 'customer' THEN 'u:client' WHEN lower(entity_type) = 'product' THEN 'u:thing' END AS class_uri FROM entities", graph=True)
 def d15(spark, sf):
     mappings = spark.createDataFrame([("Customer", "u:client", 0.9), ("PRODUCT", "u:thing", 0.8)], "type_key string, class_uri string, confidence double")

@@ -297,15 +297,19 @@ def f06(spark, sf):
     return table(spark, sf, "part").select("p_partkey", sim.sound_code(F.col("p_name")).alias("code"))
 
 
-_M = f"replace(replace(replace({_UP}, 'PH', 'f'), 'SH', 'x'), 'TH', '0')"
-_M = f"replace(regexp_replace({_M}, '(^|[AEIOU])H', '\\1h', 'g'), 'H', '')"
-_M = f"replace(regexp_replace({_M}, 'C([EIY])', 's\\1', 'g'), 'C', 'k')"
-_M = f"left({_M}, 1) || translate(substr({_M}, 2), 'AEIOU', '')"
+#: One letter after the other, by what stands beside it.
+_SOUND = """CASE WHEN c IN ('A', 'E', 'I', 'O', 'U') THEN CASE WHEN i = 1 THEN c ELSE '' END
+    WHEN c = 'C' THEN CASE WHEN after IN ('E', 'I', 'Y') THEN 'S' ELSE 'K' END
+    WHEN c = 'H' THEN CASE WHEN i = 1 OR before IN ('A', 'E', 'I', 'O', 'U') THEN 'H' ELSE '' END
+    WHEN c = 'P' AND after = 'H' THEN 'F' WHEN c = 'S' AND after = 'H' THEN 'X' WHEN c = 'T' AND after = 'H' THEN '0'
+    WHEN c = 'D' THEN 'T' WHEN c IN ('G', 'Q') THEN 'K' WHEN c = 'V' THEN 'F' WHEN c = 'X' THEN 'KS' WHEN c = 'Z' THEN 'S' ELSE c END"""
 
 
-@register("f07_metaphone", f"SELECT p_partkey, upper(translate(replace({_M}, 'X', 'ks'), 'DGQVZ', 'tkkfs')) AS code FROM part")
+@register("f07_metaphone", f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), l AS (SELECT word, upper(word) AS u, unnest(generate_series(1, length(word))) AS i FROM w), c AS (SELECT word, i, substr(u, i, 1) AS c, substr(u, i + 1, 1) AS after, CASE WHEN i > 1 THEN substr(u, i - 1, 1) END AS before FROM l) SELECT word, string_agg({_SOUND}, '' ORDER BY i) AS code FROM c GROUP BY word")
 def f07(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", sim.metaphone(F.col("p_name")).alias("code"))
+    """Codes of all words of the documents."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", sim.metaphone(F.col("word")).alias("code"))
 
 
 _NEXT = "WITH p AS (SELECT a.vec_id AS a, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) "
@@ -453,12 +457,17 @@ def n10(spark, sf):
     return chunking.entity_values(table(spark, sf, "documents"), {"Mail": r"\b[a-z0-9._-]+@[a-z0-9.-]+\b", "Number": r"\b[0-9]{3,9}\b"}).select("doc_id", "entity_type", "entity_text")
 
 
-@register("n11_relations_by_pattern", "SELECT s_suppkey AS doc_id, s_name AS source_text, 'Bank' AS source_type, 'provides_product_to' AS relationship_type, 'thẻ' AS target_text, 'Person' AS target_type, n_name AS context FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, s_name, 'Person', 'is_customer_of', n_name, 'Bank', '' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 1")
+@register("n11_relations_by_pattern", """WITH o AS (SELECT o_orderkey AS doc_id, c_name, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT doc_id, c_name AS source_text, p AS target_text, 'owns_account' AS relationship_type, CAST(0.6 AS DOUBLE) AS confidence FROM o WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, c_name, c_name, 'transfers_money_to', 0.6 FROM o WHERE doc_id % 4 = 1 AND contains(c_name, '5')""")
 def n11(spark, sf):
-    named = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    third = F.col("s_suppkey") % 3
-    text = F.when(third == 0, F.concat("s_name", F.lit(" cung cấp thẻ cho "), "n_name")).when(third == 1, F.concat("s_name", F.lit(" LÀ khách hàng của "), "n_name")).otherwise(F.lit("nothing here"))
-    return chunking.relations_by_pattern(named.select(F.col("s_suppkey").alias("doc_id"), text.alias("sentence")))
+    """Ends are matched with entities whole, or else by containment; the pattern of three groups tells nothing."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    fourth = F.col("o_orderkey") % 4
+    text = F.when(fourth == 0, F.concat("c_name", F.lit(" MỞ "), "o_orderpriority", F.lit(" tại đây"))).when(fourth == 1, F.concat(F.lit("ông "), "c_name", F.lit(" chuyển 5\ncho ai"))).when(fourth == 2, F.concat("c_name", F.lit(" là khách hàng của BIDV"))).otherwise(F.lit("nothing here"))
+    chunks = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("chunk_index"), text.alias("chunk"), "c_name", "o_orderpriority")
+    found = chunks.select("doc_id", "chunk_index", F.explode(F.array(F.struct(F.col("c_name").alias("entity_text"), F.lit("Person").alias("entity_type"), F.lit(0).alias("start_position")), F.struct(F.col("o_orderpriority").alias("entity_text"), F.lit("Account").alias("entity_type"), F.lit(30).alias("start_position")))).alias("e")).select("doc_id", "chunk_index", "e.*")
+    return chunking.relations_by_pattern(chunks, found).select("doc_id", "source_text", "target_text", "relationship_type", "confidence")
 
 
 @register("n14_file_totals", r"SELECT doc_id, n_chunks, n_entities FROM (SELECT doc_id, greatest(CAST(ceil((length(text) - 200) / CAST(800 AS DOUBLE)) AS BIGINT), 1) AS n_chunks, len(regexp_extract_all(text, '\b\d{10,14}\b')) + len(regexp_extract_all(text, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b')) AS n_entities FROM documents WHERE length(text) > 0) x")
@@ -492,13 +501,6 @@ def o11(spark, sf):
 # -- P, R, T, U, V, W, X, Z ---------------------------------------------------------------------
 
 
-@register("r08_batch_statistics", "SELECT count(*) AS n_pairs, count(DISTINCT a) AS n_entities FROM (SELECT a.s_suppkey AS a FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_acctbal > 5000) x")
-def r08(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", "s_acctbal")
-    pairs = resolve.candidate_pairs(s, ["s_nationkey"], ordered=False).where("a_s_acctbal > 5000")
-    return pairs.agg(F.count("*").alias("n_pairs"), F.count_distinct("a_id").alias("n_entities"))
-
-
 @register("r14_merged_edges", "SELECT DISTINCT CASE WHEN source_entity_id = 's:2' THEN 's:1' ELSE source_entity_id END AS source_entity_id, target_entity_id FROM relationships WHERE relationship_type = 'SUPPLIES'", graph=True)
 def r14(spark, sf):
     e = entities(spark, sf)
@@ -534,14 +536,6 @@ def u06(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_union(a, b)).alias("n_either"))
 
 
-@register("w04_most_conflicts", "SELECT entity_id, other_id, score FROM (SELECT a.s_suppkey AS entity_id, b.s_suppkey AS other_id, abs(a.s_acctbal - b.s_acctbal) AS score, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal) DESC, b.s_suppkey) AS p FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) x WHERE p <= 3")
-def w04(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", "s_acctbal")
-    scored = resolve.candidate_pairs(s, ["s_nationkey"], ordered=False).withColumn("score", F.abs(F.col("a_s_acctbal") - F.col("b_s_acctbal")))
-    best = Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
-    return scored.withColumn("p", F.row_number().over(best)).where("p <= 3").select(F.col("a_id").alias("entity_id"), F.col("b_id").alias("other_id"), "score")
-
-
 @register("w07_timeline", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS place, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
 def w07(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

@@ -48,8 +48,10 @@ def test_no_pair_is_lost(spark, t):
     assert got == {(i, j) for j in range(len(words)) for i in range(j) if (j - i) % 2 == 0 and ratio(words[i], words[j]) >= t}
 
 
-@pytest.mark.parametrize("options", [{}, {"batch": 16, "batch_most": 40}, {"batch": 64, "work_most": 2000, "pairs_most": 50}])
-def test_leaders(spark, options):
+@pytest.mark.parametrize("options", [{}, {"batch": 16, "batch_most": 40}, {"batch": 300}, {"batch": 300, "pairs_most": 50}])
+def test_leaders(spark, options, monkeypatch):
+    if "batch" in options:
+        monkeypatch.setattr(alike, "_FEW_LEADERS", 0)
     words = mixed(7, 400)
     want, leaders = {}, []
     for w in words:

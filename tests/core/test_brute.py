@@ -9,7 +9,7 @@ import pytest
 from entigraph.fixtures import entities, table
 from entigraph.functions import similarity as sim
 from entigraph.operators import alike, chunking, resolve
-from entigraph.plans import analytics, more, registry, texts  # noqa: F401  (they register their queries)
+from entigraph.plans import analytics, more, pairs, registry, texts  # noqa: F401  (they register their queries)
 
 
 def leaders(items, threshold):
@@ -58,23 +58,6 @@ def test_r05_leader_clusters(spark, sf_dir):
     assert {tuple(r) for r in registry.QUERIES["r05_leader_clusters"](spark, sf_dir).collect()} == want
 
 
-def test_r09_duplicates_by_mean(spark, sf_dir):
-    rows = [(f"s:{r.s_suppkey}", r.s_name.lower(), r.s_nationkey) for r in table(spark, sf_dir, "supplier").collect()]
-
-    def score(x, y):
-        row = list(range(len(y) + 1))
-        for i, c in enumerate(x):
-            last, row[0] = row[0], i + 1
-            for j, d in enumerate(y):
-                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (c != d))
-        return ((x == y) + 1 - row[-1] / max(len(x), len(y)) + difflib.SequenceMatcher(None, x, y).ratio()) / 3
-
-    want = {(a, b): score(x, y) for a, x, m in rows for b, y, n in rows if a < b and m == n}
-    got = {(r.a_id, r.b_id): r.score for r in registry.QUERIES["r09_duplicates_by_mean"](spark, sf_dir).collect()}
-    assert set(got) == {k for k, v in want.items() if v >= 0.6}
-    assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())
-
-
 def test_f15_hybrid(spark, sf_dir):
     names = {r.n_nationkey: r.n_name for r in table(spark, sf_dir, "nation").collect()}
     words = lambda t: set(re.sub(r"[^a-z0-9\s]", "", t.lower()).split())

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from entigraph.plans import analytics, more, reads, registry, rows, texts  # noqa: F401
+from entigraph.plans import analytics, more, pairs, reads, registry, rows, texts  # noqa: F401
 
 
 @pytest.fixture(scope="module")

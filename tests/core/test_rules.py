@@ -136,3 +136,17 @@ def test_ontology_file(spark, tmp_path):
     assert classes["B"].parent_class_id == classes["A"].id and classes["A"].domain == "D" and classes["A"].parent_class_id is None
     p = ontology.properties(triples).first()
     assert (p.property_type, p.domain_uri, p.range_uri) == ("object", "http://x/ontology/D/A", "http://x/ontology/D/B")
+
+
+@pytest.mark.parametrize(("word", "code"), [("Cher", "KR"), ("Michel", "MKL"), ("Schema", "SKM"), ("cell", "SLL"), ("accent", "AKSNT"), ("phone", "FN"), ("ship", "XP"), ("thatch", "0TK"), ("hello", "HLL"), ("ahha", "AH"), ("hhe", "H"), ("box", "BKS"), ("12", "")])
+def test_metaphone(spark, word, code):
+    assert spark.createDataFrame([(word,)], "w string").select(sim.metaphone(F.col("w"))).first()[0] == code
+
+
+def test_relation_ends(spark):
+    """The first entity with the same text wins, else the first that contains the end or lies in it; no entity, no relation."""
+    chunks = spark.createDataFrame([(1, 0, "Ann Lee MỞ tài khoản 77 tại BIDV\nBob chuyển 5 cho x"), (2, 0, "Ann Lee là khách hàng của BIDV"), (3, 0, "Zed có 1 tại y")], "doc_id long, chunk_index int, chunk string")
+    found = [(1, 0, "Ann", "Person", 0), (1, 0, "ann lee", "Person", 3), (1, 0, "77", "Account", 20), (1, 0, "Bob 5", "Person", 40), (2, 0, "Ann Lee", "Person", 0), (2, 0, "BIDV", "Bank", 30), (3, 0, "Zed", "Person", 0)]
+    spans = spark.createDataFrame(found, "doc_id long, chunk_index int, entity_text string, entity_type string, start_position int")
+    got = {tuple(r)[2:] for r in chunking.relations_by_pattern(chunks, spans).collect()}
+    assert got == {("ann lee", "77", "owns_account", 0.6), ("Bob 5", "Bob 5", "transfers_money_to", 0.6)}
