@@ -77,24 +77,3 @@ def decide(calls: DataFrame, key: str, at: str, order: str, rule: Limit) -> Data
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "us", "call_id")
     return ordered.mapInPandas(run, f"call_id {dict(rows.dtypes)['call_id']}, allowed boolean")
-
-
-def decide_stream(calls: DataFrame, key: str, at: str, order: str, rule: Limit) -> DataFrame:
-    """The same decisions on a stream, with the state kept by Spark."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["us", "call_id"])
-        out = []
-        for us, call in zip(rows["us"], rows["call_id"], strict=True):
-            if rule.rule == "token_bucket":
-                allowed, pair = bucket_step(tuple(held) if held else None, us / 1e6, rule)
-                held = list(pair)
-            else:
-                allowed, held = sliding_step(list(held or []), us / 1e6, rule)
-            out.append((call, allowed))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["call_id", "allowed"])
-
-    rows = calls.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(order).alias("call_id"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"call_id {dict(rows.dtypes)['call_id']}, allowed boolean", "held array<double>", "append", "NoTimeout")

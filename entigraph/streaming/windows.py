@@ -22,16 +22,3 @@ def sessions(df: DataFrame, at: str, gap: str, key: str, late: str | None = None
     """(start, end, key, n) of sessions that end after a gap."""
     grouped = _timed(df, at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), key, "n")
-
-
-def running_statistics(stream: DataFrame, key: str, value: str, target: str, checkpoint: str):
-    """Start a query that keeps (key, n, total, mean, last batch) of a stream in a table, one version a batch."""
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-        spark = batch.sparkSession
-        if number > 0:
-            old = spark.read.parquet(f"{target}/batch={number - 1:08d}").select(key, "n", "total")
-            new = old.unionAll(new.select(key, "n", "total")).groupBy(key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        new.withColumn("mean", F.col("total") / F.col("n")).write.mode("overwrite").parquet(f"{target}/batch={number:08d}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,7 @@ from entigraph.functions import text as tx
 from entigraph.operators import chunking, graph, ontology, query, resolve
 from entigraph.plans import pipeline
 from entigraph.sources import files, http, rdf
-from entigraph.streaming import limits
+from entigraph.streaming import limits, stateful
 
 
 def test_sounds(spark):
@@ -82,7 +82,7 @@ def test_limits_on_a_stream(spark, tmp_path):
     schema = "k string, at timestamp, n int"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = limits.decide_stream(stream, "k", "at", "n", limits.Limit(2, 10)).writeStream.format("memory").queryName("decided").outputMode("append").trigger(availableNow=True).start()
+    q = stateful.decide(stream, "k", "at", "n", limits.Limit(2, 10)).writeStream.format("memory").queryName("decided").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.allowed for r in spark.table("decided").orderBy("call_id").collect()] == [True, True, False, False, True, True]
 
