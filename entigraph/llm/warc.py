@@ -1,16 +1,19 @@
 """WARC archives as a Spark data source in Python ("warc"), to read and to write.
 
 Reading plans partitions over files, takes predicates on the record type and on header columns into the
-scan, parses a record's headers first and inflates its payload only if it is wanted.  Each record is a
-gzip member of its own.  Members that this writer made carry their length in a gzip extra field (the
-"sl" skip-lengths subfield), so a record that a predicate rejects is passed over without inflating it;
-other archives are read as well, plain or gzipped, just not skipped as fast.
+scan, parses a record's headers first and inflates its payload only if it is wanted.  Each record that this
+writer makes is a gzip member of its own, which carries its length in a gzip extra field (the
+"sl" skip-lengths subfield), so a record that a predicate rejects is passed over without inflating it.
+Other archives are read as well, plain or gzipped, with any number of records in a member or members in a
+record, just not skipped as fast; names of headers are compared without case.  A file that holds anything but
+whole records raises an error.
 
 Writing goes to attempt files that the commit moves into place, so a task that is run twice leaves one file.
 
 Cases: a null payload is empty; a null page_id or url is left out of the headers and reads as null;
-control characters in a url are percent-encoded; repeated pages are records each; an empty table writes
-no record; other columns are ignored.
+control characters in a url are percent-encoded; repeated pages are records each, told apart by id and payload
+(rows that repeat both share a record id); bodies are returned as they are stored, chunks and content encodings undone
+by nobody; an empty table writes no record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,11 +78,11 @@ def record(row: dict[str, Any]) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     block = http if revisit else http + payload
     named = row["page_id"] is not None
-    headers = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", f"<urn:page:{row['page_id']}>" if named else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, row['payload_digest'])}>"), ("WARC-Date", _DATE)]
+    headers = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", f"<urn:page:{row['page_id']}:{row['payload_digest']}>" if named else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row["url"]} {row["payload_digest"]}')}>"), ("WARC-Date", _DATE)]
     if row["url"] is not None:
         headers.append(("WARC-Target-URI", quote(row["url"], safe="%:/?#[]@!$&'()*+,;=-._~")))
     if revisit:
-        headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{row['refers_to']}>")]
+        headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{row['refers_to']}:{row['payload_digest']}>")]
     headers += [("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"), ("X-Payload-Length", str(row["payload_bytes"]))]
     if named:
         headers.append(("X-Page-Id", str(row["page_id"])))
@@ -88,11 +91,17 @@ def record(row: dict[str, Any]) -> bytes:
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
-    out = {}
+    """Names as they stand; a line that begins with white space goes on with the one before it."""
+    out: dict[str, str] = {}
+    name = ""
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
+        name = name.strip()
         if colon:
-            out[name.strip()] = value.strip()
+            out[name] = value.strip()
     return out
 
 
@@ -105,6 +114,7 @@ class Wanted:
     present: set[str] = field(default_factory=set)
 
     def __call__(self, headers: dict[str, str]) -> bool:
+        """``headers`` by lower-case name; names in predicates are in lower case as well."""
         return all(headers.get(k) in v for k, v in self.equal.items()) and all((headers.get(k) or "").startswith(v) for k, v in self.prefix.items()) and all(k in headers for k in self.present)
 
 
@@ -117,69 +127,119 @@ class Files(InputPartition):
         self.paths = paths
 
 
-def _split_head(data: bytes) -> tuple[bytes, int]:
-    end = data.find(b"\r\n\r\n")
-    return (data[:end], end + 4) if end >= 0 else (b"", -1)
-
-
-def _gzip_records(stream: Any, wanted: Wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes]]:
-    at, size = 0, stream.size()
-    while at < size:
-        stream.seek(at)
-        begin = stream.read(24)
-        length = 0
-        if len(begin) == 24 and begin[3] == 4 and begin[12:14] == b"sl":
-            length = struct.unpack("<I", begin[16:20])[0]
-        stream.seek(at)
-        inflate = zlib.decompressobj(31)
-        got, raw = bytearray(), b""
-        while True:  # the head alone
-            raw = inflate.unconsumed_tail or stream.read(min(_HEAD, length) if length else _HEAD)
-            got += inflate.decompress(raw, 4096)
-            head, body_at = _split_head(bytes(got))
-            if body_at >= 0 or inflate.eof or not raw:
+class Plain:
+    """The bytes of a file, of which parts can be passed over."""
+
+    def __init__(self, stream: Any):
+        self.stream, self.held = stream, bytearray()
+
+    def more(self, size: int) -> bool:
+        got = self.stream.read(size)
+        self.held += got
+        return bool(got)
+
+    def lengths(self) -> tuple[int, int] | None:
+        return None
+
+    def skip(self, n: int) -> None:
+        if n > len(self.held):
+            self.stream.seek(self.stream.tell() + n - len(self.held))
+            self.held.clear()
+        else:
+            del self.held[:n]
+
+
+class Inflated:
+    """The bytes of a file's gzip members, one after the other; a member whose length is stated can be passed over."""
+
+    def __init__(self, stream: Any):
+        self.stream, self.held, self.raw, self.inflate = stream, bytearray(), b"", None
+
+    def more(self, size: int) -> bool:
+        self.raw = self.raw or self.stream.read(size)
+        if not self.raw and self.inflate is None:
+            return False
+        begun, self.inflate = self.inflate is not None, self.inflate or zlib.decompressobj(31)
+        got = self.inflate.decompress(self.raw, size)
+        self.held += got
+        if self.inflate.eof:
+            self.raw, self.inflate = self.inflate.unused_data, None
+        elif begun and not got and not self.raw:
+            raise ValueError("a gzip member ends early")
+        else:
+            self.raw = self.inflate.unconsumed_tail
+        return True
+
+    def lengths(self) -> tuple[int, int] | None:
+        """At the beginning of a member that states them: (where it ends, its length unpacked)."""
+        while True:  # blank lines after a record belong to its member
+            while self.held and self.held[0] in b"\r\n":
+                del self.held[:1]
+            if self.held or self.inflate is None or not self.more(_HEAD):
+                break
+        if self.held or self.inflate is not None:
+            return None
+        if len(self.raw) < 24:
+            self.raw += self.stream.read(_HEAD)
+        if len(self.raw) < 24 or self.raw[3] != 4 or self.raw[12:14] != b"sl":
+            return None
+        packed, unpacked = struct.unpack("<II", self.raw[16:24])
+        return (self.stream.tell() - len(self.raw) + packed, unpacked) if packed else None
+
+    def jump(self, to: int) -> None:
+        self.stream.seek(to)
+        self.held.clear()
+        self.raw, self.inflate = b"", None
+
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.more(1 << 16):
+                return
+        del self.held[:n]
+
+
+def _records(source: Plain | Inflated, wanted: Wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """(headers as they stand, headers by lower-case name, block) of each record that is wanted, however many a gzip
+    member holds.  What is no record raises an error, and so does a record that ends early."""
+    while True:
+        stated = source.lengths()
+        begin = 0
+        while True:  # the head; blank lines may stand before it
+            while begin < len(source.held) and source.held[begin] in b"\r\n\0":
+                begin += 1
+            end = source.held.find(b"\r\n\r\n", begin)
+            if end >= 0 or not source.more(_HEAD):
                 break
+        if end < 0:
+            if begin < len(source.held):
+                raise ValueError("what follows the last record is none")
+            return
+        head = bytes(source.held[begin:end])
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {head[:20]!r}")
         headers = parse_headers(head)
-        take = bool(head) and wanted(headers)
-        if length and not (take and with_payload):
-            at += length
+        by_name = {k.lower(): v for k, v in headers.items()}
+        length = int(by_name["content-length"])
+        take = wanted(by_name)
+        if stated and end + 4 + length + 4 >= stated[1] and not (take and with_payload):
+            source.jump(stated[0])  # the member holds this record alone
         else:
-            while not inflate.eof:
-                raw = inflate.unconsumed_tail or stream.read(1 << 20)
-                if not raw:
-                    break
-                got += inflate.decompress(raw)
-            at = stream.tell() - len(inflate.unused_data) if inflate.eof else size
+            source.skip(end + 4)
+            if take and with_payload:
+                while len(source.held) < length:
+                    if not source.more(1 << 20):
+                        raise ValueError("the last record ends early")
+                block = bytes(source.held[:length])
+            source.skip(length)
         if take:
-            end = body_at + int(headers.get("Content-Length") or 0)
-            yield headers, bytes(got[body_at:end]) if with_payload else b""
-
-
-def _plain_records(stream: Any, wanted: Wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes]]:
-    at, size = 0, stream.size()
-    while at < size:
-        stream.seek(at)
-        got = bytearray()
-        head, body_at = b"", -1
-        while body_at < 0:
-            more = stream.read(_HEAD)
-            if not more:
-                return
-            got += more
-            head, body_at = _split_head(bytes(got))
-        headers = parse_headers(head)
-        length = int(headers.get("Content-Length") or 0)
-        if wanted(headers):
-            block = b""
-            if with_payload:
-                stream.seek(at + body_at)
-                block = stream.read(length)
-            yield headers, block
-        at += body_at + length + 4
+            yield headers, by_name, block if with_payload else b""
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
-    if headers.get("Content-Type", "").startswith("application/http"):
+    """The body of an HTTP message as it is stored: transfer and content encodings are left as they are."""
+    if headers.get("content-type", "").lower().startswith("application/http"):
         return block.partition(b"\r\n\r\n")[2]
     return block
 
@@ -192,11 +252,11 @@ class WarcReader(DataSourceReader):
         self.wanted = Wanted()
         for name, value in options.items():  # option "header.<Name>": a predicate on any header
             if name.startswith("header."):
-                self.wanted.equal[next((h for h in HEADER_COLUMNS.values() if h.lower() == name[7:].lower()), name[7:])] = {value}
+                self.wanted.equal[name[7:].lower()] = {value}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
-            column = HEADER_COLUMNS.get(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
+            column = HEADER_COLUMNS.get(f.attribute[0], "").lower() if len(getattr(f, "attribute", ())) == 1 else None
             if column and isinstance(f, (EqualTo, In)):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.wanted.equal[column] = self.wanted.equal.get(column, values) & values
@@ -234,12 +294,13 @@ class WarcReader(DataSourceReader):
 
         for path in partition.paths:
             with fs.open_input_file(path) as stream:
-                records = _gzip_records if stream.read(2) == b"\x1f\x8b" else _plain_records
-                for headers, block in records(stream, self.wanted, self.with_payload):
+                packed = stream.read(2) == b"\x1f\x8b"
+                stream.seek(0)
+                for headers, by_name, block in _records(Inflated(stream) if packed else Plain(stream), self.wanted, self.with_payload):
                     for row, name in zip(rows, HEADER_COLUMNS.values(), strict=False):
-                        row.append(headers.get(name))
+                        row.append(by_name.get(name.lower()))
                     rows[-2].append(list(headers.items()))
-                    rows[-1].append(payload_of(headers, block) if self.with_payload else None)
+                    rows[-1].append(payload_of(by_name, block) if self.with_payload else None)
                     held += len(block) + 500
                     if held > 8 << 20:
                         yield flush()
@@ -332,7 +393,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
     Responses are measured on their payloads; revisits, whose payloads are not stored, by their headers."""
     register(spark)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+):[0-9a-f]{40}>$", 1).cast("long")
     warc = spark.read.format("warc").load(path)
     response = warc.where("record_type = 'response'").select(F.col("page_id").cast("long"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     heads = spark.read.format("warc").option("payload", "false").load(path)
