@@ -3,14 +3,14 @@
 Equal vectors are one: of their ids only the k + 1 smallest can be among anybody's k nearest, so no others
 are indexed, and they are one query, whose answer each of them takes without its own id.
 
-Vectors are dealt to lists by their nearest centroid, and lists are packed into bins of bounded size (a
+Vectors are dealt to lists by their nearest centroid, and lists are packed into bins of at most ``bin_most`` vectors and ``bin_bytes`` (a
 large list fills several bins).  A query goes once to each bin that holds a list it probes; a bin is
 copied only for every ``query_block`` queries that come to it, so copies keep pace with work.  There, vectors are rotated by a fixed random rotation and held in column blocks; after
 each block a hypothesis test compares the partial distance, scaled to all dimensions, with the query's
 bound, and candidates that fail it are abandoned.  What survives is measured exactly, on the original
 vectors in double precision.
 
-Only fitting is done on a sample, of at most ``sample_most`` distinct vectors drawn by hash (16 for each of
+Only fitting is done on a sample, of at most ``sample_most`` distinct vectors and ``sample_bytes`` drawn by hash (16 for each of
 as many lists as the square root of their number, 16 384 at least): the centroids, in two levels, the number of lists to probe (the least that finds ``recall`` of the sample's neighbours), and
 each query's first bound, the distance of its k-th neighbour in the sample.
 
@@ -58,6 +58,16 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+#: Bytes of a matrix of distances that are held at once.
+_HELD = 16 << 20
+
+
+def nearest_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The row of ``b`` that is nearest to each row of ``a``, some rows at a time."""
+    step = max(1, _HELD // (8 * max(len(b), 1)))
+    return np.concatenate([squared(a[lo : lo + step], b).argmin(axis=1) for lo in range(0, len(a), step)] or [np.zeros(0, np.int64)])
+
+
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(((rows - query) ** 2).sum(axis=1))
 
@@ -78,7 +88,7 @@ def k_means(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     rng = np.random.default_rng(_SEED)
     centroids = points[rng.choice(len(points), k, replace=False)].copy()
     for _ in range(rounds):
-        nearest = squared(points, centroids).argmin(axis=1)
+        nearest = nearest_of(points, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, points)
         counts = np.bincount(nearest, minlength=k)
@@ -92,13 +102,13 @@ def two_level(points: np.ndarray, n_lists: int) -> np.ndarray:
     coarse = k_means(points, max(1, int(n_lists**0.5)))
     if len(coarse) < 16:
         return k_means(points, n_lists)
-    owner = squared(points, coarse).argmin(axis=1)
+    owner = nearest_of(points, coarse)
     parts = [points[owner == c] for c in range(len(coarse))]
     return np.concatenate([k_means(p, max(1, min(len(p), round(n_lists * len(p) / len(points))))) for p in parts if len(p)])
 
 
-def fit(rows: DataFrame, dim: int, n_rows: int, k: int, recall: float, sample_most: int) -> Fit:
-    wanted = int(min(max(16 * n_rows**0.5, 16_384), sample_most))
+def fit(rows: DataFrame, dim: int, n_rows: int, k: int, recall: float, sample_most: int, sample_bytes: int) -> Fit:
+    wanted = int(max(1, min(max(16 * n_rows**0.5, 16_384), sample_most, sample_bytes // (8 * dim))))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toArrow()
     ids = drawn.column("vec_id").to_numpy()
     sample = matrix(drawn.column("v").combine_chunks(), dim).astype(np.float64)
@@ -107,11 +117,13 @@ def fit(rows: DataFrame, dim: int, n_rows: int, k: int, recall: float, sample_mo
     n_lists, apart = len(centroids), sample
     rotation = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((dim, dim)))[0]
     # the rank of the list that holds each neighbour, over sample queries
-    owner = squared(apart, centroids).argmin(axis=1)
+    owner = nearest_of(apart, centroids)
     asked = np.random.default_rng(_SEED + 1).permutation(len(apart))[:256]
-    distances = squared(apart[asked], apart)
-    distances[np.arange(len(asked)), asked] = np.inf
-    near = np.argsort(distances, axis=1)[:, : min(k, max(len(apart) - 1, 1))]
+    near = np.empty((len(asked), min(k, max(len(apart) - 1, 1))), np.int64)
+    for j, own in enumerate(asked):
+        distances = squared(apart[own : own + 1], apart)[0]
+        distances[own] = np.inf
+        near[j] = np.argsort(distances, kind="stable")[: near.shape[1]]
     rank = np.argsort(np.argsort(squared(apart[asked], centroids), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(rank, owner[near], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
@@ -138,7 +150,7 @@ def abandon(rotated: np.ndarray, query: np.ndarray, alive: np.ndarray, bound: fl
     return alive
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97, sample_most: int = 65_536, bin_least: int = 2_048, bin_most: int = 65_536, query_block: int = 8_192, block: int = 16, doubt: float = 2.1) -> DataFrame:
+def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97, sample_most: int = 65_536, sample_bytes: int = 64 << 20, bin_least: int = 2_048, bin_most: int = 65_536, bin_bytes: int = 64 << 20, query_block: int = 8_192, block: int = 16, doubt: float = 2.1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``queries`` (a condition on
     vec_id) selects, by Euclidean distance, ties to the smaller vec_id."""
     found, dim = vectors(rows)
@@ -155,28 +167,29 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97,
     asking = every_row.where(queries).withColumn("h", F.xxhash64("v"))
     asking = staged(asking.join(names, (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v"))).select("vec_id", "name"), "ann-asking")
     wanted = staged(table.join(asking.select(F.col("name").alias("vec_id")).distinct(), "vec_id"), "ann-wanted")
-    learned = fit(table, dim, n_rows, k, recall, sample_most)
+    learned = fit(table, dim, n_rows, k, recall, sample_most, sample_bytes)
     shared = table.sparkSession.sparkContext.broadcast(learned)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value.centroids
         for batch in batches:
-            lists = squared(matrix(batch.column(1), dim), centroids).argmin(axis=1).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
+            lists = nearest_of(matrix(batch.column(1), dim), centroids).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists)], names=["vec_id", "v", "list"])
 
     index = staged(table.mapInArrow(assign, "vec_id long, v array<double>, list int"), "ann-index")
     sizes = np.zeros(len(learned.centroids), np.int64)
     for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row per list, sample_most / 16 at most
         sizes[r.list] = r.n
-    bin_rows = int(min(max(n_rows / 200, bin_least), bin_most))
+    bin_rows = int(max(1, min(max(n_rows / 200, bin_least), bin_most, bin_bytes // (8 * dim))))
     first_bin, n_bins = pack(sizes, bin_rows)
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             ids, q = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
-            for lo in range(0, len(ids), 256):
-                rank = np.argsort(squared(q[lo : lo + 256], own.centroids), axis=1, kind="stable")
-                close = squared(q[lo : lo + 256], own.sample)
+            step = max(1, _HELD // (8 * len(own.sample)))
+            for lo in range(0, len(ids), step):
+                rank = np.argsort(squared(q[lo : lo + step], own.centroids), axis=1, kind="stable")
+                close = squared(q[lo : lo + step], own.sample)
                 rows: list[tuple] = []
                 for j, order in enumerate(rank):
                     qid, vector = int(ids[lo + j]), q[lo + j]

@@ -53,3 +53,27 @@ def test_few_rows(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 4.0), (0, 2, 2, 4.0)]
     assert ann.nearest(spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_fitting_is_bounded():
+    """The largest sample the defaults allow, split into as many lists as it leads to, needs little beside itself."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    points = rng.standard_normal((65_536, 16))
+    tracemalloc.start()
+    centroids = ann.two_level(points, 4096)
+    ann.nearest_of(points, centroids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 3500 < len(centroids) < 4700 and peak < 200 << 20
+
+
+def test_few_bytes(spark):
+    """Samples and bins that hold few vectors change nothing in what is returned but the recall."""
+    rows = corpus(600)
+    got = ann.nearest(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA), F.col("vec_id") % 100 == 0, sample_bytes=256 * 128, bin_bytes=64 * 128)
+    want, hits = brute(rows), 0
+    for r in got.collect():
+        hits += any(v == r.vec_id for v, _ in want[r.query_id])
+    assert hits >= 0.9 * sum(map(len, want.values()))
