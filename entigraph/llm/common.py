@@ -89,6 +89,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, flagged, hash_bits, longest_alike, signed, staged, text_or_empty, text_slices, window_hashes, windows
+from .common import Words, flagged, free_name, hash_bits, longest_alike, signed, staged, text_or_empty, text_slices, window_hashes, windows
 
 SPAN = 10
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 1, 2, 5, 8, 9), (0, 2, 4, 5, 6, 9), (0, 3, 5, 6, 7, 9))
@@ -209,6 +209,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that overlap no item; a row is told by its doc_id and text."""
-    bad = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct()
+    bad_id, bad_text = free_name(docs, "_bad_id"), free_name(docs, "_bad_text")
+    bad = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_text)).distinct()
     bad = staged(bad, "contaminated")
-    return docs.join(bad, (F.xxhash64(text_or_empty()) == F.col("_bad_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    return docs.join(bad, (F.xxhash64(text_or_empty()) == F.col(bad_text)) & F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)), "left_anti")

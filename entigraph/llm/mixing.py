@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import quoted, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 RANGES = 1024
@@ -129,8 +129,8 @@ def _narrowed(rows: DataFrame, state: DataFrame, gather_most: int) -> DataFrame:
 
 def _mixed(docs: DataFrame, share: float, most_epochs: float, weights: tuple[float, ...], gather_most: int, weight: Column | None) -> DataFrame:
     """(row, size, source_size, target, copies): ``row`` holds the columns of ``docs``."""
-    flat = [F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("map", "struct", "array") else F.col(f"`{f.name}`") for f in docs.schema]
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"), F.col("source").cast("string").alias("source"), F.xxhash64(*flat).alias("hash"), (quality(F.col("text")) if weight is None else weight).cast("double").alias("weight"))
+    flat = [F.to_json(F.col(quoted(f.name))) if f.dataType.typeName() in ("map", "struct", "array") else F.col(quoted(f.name)) for f in docs.schema]
+    packed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text"), F.col("source").cast("string").alias("source"), F.xxhash64(*flat).alias("hash"), (quality(F.col("text")) if weight is None else weight).cast("double").alias("weight"))
     sized = packed.select("row", "source", words(F.col("text")).alias("size"), sampling_key([F.col("hash")], F.col("weight")).alias("mix_key"))
     rows = staged(sized.select("source", F.col("mix_key").alias("key"), "size"), "mix-rows")
     sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sizes")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, signed, staged, text_or_empty, text_slices, window_hashes, windows
+from .common import Words, free_name, mix64, quoted, signed, staged, text_or_empty, text_slices, window_hashes, windows
 from .components import components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -269,6 +269,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     then the smallest text hash; of rows repeated exactly, one."""
     groups = near_duplicates(docs, **options)
     winner = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("w"))
-    kept = staged(winner.select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash")), "simhash-kept")
-    chosen = docs.join(kept, (F.xxhash64(text_or_empty()) == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return chosen.dropDuplicates(["_hash", "_id"]).select(*docs.columns)
+    own_id, own_text = free_name(docs, "_id"), free_name(docs, "_hash")
+    kept = staged(winner.select(F.col("w.doc_id").alias(own_id), F.col("w.text_hash").alias(own_text)), "simhash-kept")
+    chosen = docs.join(kept, (F.xxhash64(text_or_empty()) == F.col(own_text)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)))
+    return chosen.dropDuplicates([own_text, own_id]).select(*map(quoted, docs.columns))

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import Words, staged, text_or_empty, text_slices, window_hashes, windows
 
@@ -319,4 +320,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
             found = scorer.score([features(t or "", lexicon, own) for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # names that Spark would have to quote stay out of the way
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema)])
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
