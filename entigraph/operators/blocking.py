@@ -29,7 +29,7 @@ def classes(entities: DataFrame, block: list[str]) -> DataFrame:
 
 
 def keys(of: DataFrame, w: float, hot: int = 1000) -> DataFrame:
-    """(block, text, key): what classes with a Jaccard index of ``w`` or more have in common.
+    """(block, text, key, ws): what classes with a Jaccard index of ``w`` or more have in common, and hashes of their words.
 
     ``o`` words at least are shared; a hot word alone is a key only between sets that may share one word."""
     words = of.select("block", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
@@ -41,17 +41,21 @@ def keys(of: DataFrame, w: float, hot: int = 1000) -> DataFrame:
     single = F.transform(F.filter(first, lambda x: (x["df"] <= hot) | (F.col("o") == 1)), lambda x: F.array(x["word"]))
     hot_words = F.filter(second, lambda x: x["df"] > hot)
     double = F.flatten(F.transform(hot_words, lambda h: F.transform(F.filter(second, lambda x: x["word"] != h["word"]), lambda x: F.array_sort(F.array(h["word"], x["word"])))))
-    return ranked.select("block", "text", F.explode(F.array_distinct(F.concat(single, double))).alias("key"))
+    hashes = F.transform("ws", lambda x: F.xxhash64(x["word"]))
+    return ranked.select("block", "text", F.explode(F.array_distinct(F.concat(single, double))).alias("key"), hashes.alias("ws"))
 
 
 def alike_classes(of: DataFrame, w: float, hot: int = 1000) -> DataFrame:
     """(block, a, b, weight): pairs of texts of a block, each once, with a Jaccard index of words of ``w`` or more."""
     if w <= 0:
         raise ValueError("texts without a common word do not meet: w has to be above 0")
-    k = keys(of, w, hot)
-    met = k.withColumnRenamed("text", "a").join(k.withColumnRenamed("text", "b"), ["block", "key"]).where("a < b").select("block", "a", "b").distinct()
+    k = keys(of, w, hot).withColumn("n", F.size("ws"))
+    met = k.select("block", "key", *[F.col(c).alias(f"a{c}") for c in ("text", "ws", "n")]).join(k.select("block", "key", *[F.col(c).alias(f"b{c}") for c in ("text", "ws", "n")]), ["block", "key"])
+    both = "size(array_intersect(aws, bws))"
+    close = met.where(f"atext < btext AND least(an, bn) >= {w!r}D * greatest(an, bn) - 1e-9D").where(f"{both} * (1 + {w!r}D) >= {w!r}D * (an + bn) - 1e-9D")
+    pairs = close.select("block", F.col("atext").alias("a"), F.col("btext").alias("b")).distinct()
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    return met.withColumn("weight", jaccard(words("a"), words("b"))).where(F.col("weight") >= w - 1e-9)
+    return pairs.withColumn("weight", jaccard(words("a"), words("b"))).where(F.col("weight") >= w - 1e-9)
 
 
 def similar_classes(of: DataFrame, least: float, hot: int = 1000) -> DataFrame:

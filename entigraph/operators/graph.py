@@ -30,20 +30,27 @@ def degrees(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.join(counted, entities.id == counted.own, "left").drop("own").withColumn("relationship_count", F.coalesce("relationship_count", F.lit(0)))
 
 
+def _hop(front: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
+    """What one undirected hop from ``front`` (keys, node) reaches, once each."""
+    ends = ("source_entity_id", "target_entity_id")
+    sides = [front.join(edges.select(F.col(own).alias("node"), F.col(far).alias("_far")), "node").select(*keys, F.col("_far").alias("node")) for own, far in (ends, ends[::-1])]
+    return sides[0].unionAll(sides[1]).distinct()
+
+
 def neighbours(edges: DataFrame, start: DataFrame, depth: int, types: tuple[str, ...] = ()) -> DataFrame:
     """(start, node, depth): nodes within ``depth`` undirected hops of each id of ``start``, at their
     least depth; the start itself at depth 0.
 
-    Steps are made once, and each frontier is settled before the next hop, so no hop repeats an earlier
+    Edges are made once, and each frontier is settled before the next hop, so no hop repeats an earlier
     one.  A node that is new can only be told from those of the last two depths and itself: what a hop
     reaches lies at most one depth back."""
     found = start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    steps = both_ways(of_types(edges, types)).select("own", "far").distinct()
+    own = of_types(edges, types).select("source_entity_id", "target_entity_id")
     if depth > 1:
-        steps, found = settled(steps), settled(found.distinct())
+        own, found = settled(own), settled(found.distinct())
     before, front = None, found
     for d in range(1, depth + 1):
-        reached = front.join(steps, F.col("node") == F.col("own")).select("start", F.col("far").alias("node")).distinct()
+        reached = _hop(front.select("start", "node"), own, "start")
         known = front.select("start", "node") if before is None else front.select("start", "node").unionAll(before.select("start", "node"))
         new = reached.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
         if d < depth:
@@ -96,21 +103,62 @@ def shortest_lengths(edges: DataFrame, starts: DataFrame, depth: int, types: tup
     return neighbours(edges, starts, depth, types).where("depth > 0").withColumnRenamed("depth", "hops")
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int, types: tuple[str, ...] = ()) -> DataFrame:
+    """(source, target, hops, path): all shortest undirected paths between the ends of each pair (source, target), of up
+    to ``depth`` hops; a path is the list of its nodes, and that from a node to itself the node alone.
+
+    Two frontiers, one from either end, go on in turn until they meet, the smaller of all pairs' frontiers first, so neither
+    goes further than about half the way.  Pairs that have met go no further.  Paths are put together from the
+    meeting nodes outward, over those edges alone that lead one depth back."""
+    own = settled(of_types(edges, types).select("source_entity_id", "target_entity_id").where("source_entity_id <> target_entity_id").distinct())
+    open_ = settled(pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    keys = ["source", "target"]
+    seen = {end: [open_.select(*keys, F.col(end).alias("node"))] for end in keys}  # a frontier for each depth
+    sizes = dict.fromkeys(keys, 0)
+    met: list[tuple[int, int, DataFrame]] = [(0, 0, open_.where("source = target").select(*keys, F.col("source").alias("node")))]
+    open_ = open_.where("source <> target")
+    for hops in range(1, depth + 1):
+        if open_.isEmpty():
+            break
+        end = min(keys, key=lambda e: (sizes[e], -len(e)))
+        other = keys[1 - keys.index(end)]
+        # a pair that has met leaves its frontier
+        front = seen[end][-1].join(open_, keys, "left_semi")
+        reached = _hop(front, own, *keys)
+        for old in seen[end][-2:]:
+            reached = reached.join(old, [*keys, "node"], "left_anti")
+        new = settled(reached)
+        seen[end].append(new)
+        sizes[end] = new.count()
+        here = settled(new.join(seen[other][-1], [*keys, "node"]))
+        met.append((len(seen["source"]) - 1, len(seen["target"]) - 1, here))
+        open_ = settled(open_.join(here.select(*keys), keys, "left_anti"))
+    out = None
+    for i, j, middle in met:
+        paths = middle.select(*keys, F.array("node").alias("path"))
+        for end, n in (("source", i), ("target", j)):
+            for d in range(n - 1, -1, -1):
+                last = F.element_at("path", 1 if end == "source" else -1)
+                back = _steps_back(paths.select(*keys, last.alias("node")).distinct(), own, seen[end][d], keys)
+                grown = F.concat(F.array("_back"), F.col("path")) if end == "source" else F.concat(F.col("path"), F.array("_back"))
+                paths = paths.withColumn("node", last).join(back, [*keys, "node"]).select(*keys, grown.alias("path"))
+        rows = paths.select(*keys, F.lit(i + j).alias("hops"), "path")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _steps_back(at: DataFrame, edges: DataFrame, depth_before: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, _back): the neighbours of each node that lie one depth nearer to the end."""
+    ends = ("source_entity_id", "target_entity_id")
+    sides = [at.join(edges.select(F.col(own).alias("node"), F.col(far).alias("_back")), "node").select(*keys, "node", "_back") for own, far in (ends, ends[::-1])]
+    return sides[0].unionAll(sides[1]).distinct().join(depth_before.withColumnRenamed("node", "_back"), [*keys, "_back"], "left_semi")
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, depth: int) -> list[str] | None:
-    """Ids along one shortest undirected path, the smallest at each step, or None."""
-    if source == target:
-        return [source]
-    spark = edges.sparkSession
-    levels = neighbours(edges, spark.createDataFrame([(source,)], "id string"), depth)
-    hit = levels.where(F.col("node") == target).first()
-    if hit is None:
-        return None
-    path, here = [target], target
-    for d in range(hit.depth - 1, -1, -1):  # one small query a hop, back from the target
-        back = both_ways(edges).where(F.col("own") == here).join(levels.where(F.col("depth") == d), F.col("far") == F.col("node")).agg(F.min("node").alias("n")).first()
-        here = back.n
-        path.append(here)
-    return path[::-1]
+    """Ids along one shortest undirected path, the first in order, or None."""
+    pair = edges.sparkSession.createDataFrame([(source, target)], "source string, target string")
+    found = shortest_paths(edges, pair, depth).agg(F.min("path").alias("path")).first()
+    return found.path
 
 
 def connected(entities: DataFrame, edges: DataFrame, node: str) -> DataFrame:

@@ -24,7 +24,7 @@ def exact(entities: DataFrame, text: str, types: tuple[str, ...] = ()) -> DataFr
 def fuzzy(entities: DataFrame, text: str, above: float = 0.5) -> DataFrame:
     """By edit distance; texts whose length alone rules them out are not compared."""
     n = len(text)
-    longest = F.greatest(F.length("entity_text"), F.lit(n))
+    longest = F.greatest(F.length("entity_text"), F.lit(n), F.lit(1))
     near = entities.where(1.0 - F.abs(F.length("entity_text") - n) / longest > above)
     return near.withColumn("score", levenshtein(F.lower("entity_text"), F.lower(F.lit(text)))).where(F.col("score") > above)
 

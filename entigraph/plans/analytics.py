@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import entities, relationships, table
 from ..operators import aggregate as agg
 from ..operators import graph, ontology, quality, resolve, search, visual
+from ..operators.gramindex import GramIndex
 from ..operators.quality import Rule
+from ..session import shared_folder
 from .registry import query as register
 
 
@@ -140,6 +144,15 @@ def p11(spark, sf):
     return graph.shortest_lengths(relationships(spark, sf), start, 3).select("node", "hops")
 
 
+@register("p11_all_shortest_paths", ", q AS (SELECT 'c:' || c_custkey AS c, 's:' || (c_custkey % 7) AS s FROM customer WHERE c_custkey % 10 = 0) SELECT c AS source, s AS target, 2 AS hops, c || '>' || a.target_entity_id || '>' || s AS path FROM q JOIN relationships a ON a.source_entity_id = c AND a.relationship_type = 'PURCHASED' JOIN relationships b ON b.source_entity_id = s AND b.target_entity_id = a.target_entity_id AND b.relationship_type = 'SUPPLIES'", graph=True)
+def p11_paths(spark, sf):
+    """All paths of two hops between customers and suppliers, by the parts that both know."""
+    k = F.col("c_custkey")
+    pairs = table(spark, sf, "customer").where(k % 10 == 0).select(F.concat(F.lit("c:"), k.cast("string")).alias("source"), F.concat(F.lit("s:"), (k % 7).cast("string")).alias("target"))
+    found = graph.shortest_paths(relationships(spark, sf), pairs, 2, ("PURCHASED", "SUPPLIES"))
+    return found.select("source", "target", "hops", F.array_join("path", ">").alias("path"))
+
+
 @register("p14_connected", _SYM + " SELECT id, entity_text FROM entities WHERE id IN (SELECT far FROM sym WHERE own = 'n:9')", graph=True)
 def p14(spark, sf):
     return graph.connected(entities(spark, sf), relationships(spark, sf), "n:9").select("id", "entity_text")
@@ -155,6 +168,26 @@ def p02(spark, sf):
     return search.fuzzy(entities(spark, sf), "Customer#000000012").select("id", F.round("score", 6).alias("score"))
 
 
+def _indexed(spark, sf):
+    """An index over all entities, made in two segments; the second replaces what it repeats."""
+    index = GramIndex(spark, f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}")
+    e = entities(spark, sf)
+    index.add(e.where("num % 5 <> 0 OR entity_type <> 'PRODUCT'"))
+    index.add(e.where("entity_type = 'PRODUCT'"))
+    return index
+
+
+@register("p01_indexed_search", "SELECT id, CAST(1 AS DOUBLE) AS score FROM entities WHERE contains(lower(entity_text), 'late') OR contains(lower(entity_text), '#00000001')", graph=True)
+def p01_indexed(spark, sf):
+    index = _indexed(spark, sf)
+    return index.containing("LATE").unionByName(index.containing("#00000001")).select("id", "score").distinct()
+
+
+@register("p02_indexed_search", "SELECT id, round(1 - CAST(levenshtein(lower(entity_text), 'customer#000000012') AS DOUBLE) / greatest(length(entity_text), 18), 6) AS score FROM entities WHERE 1 - CAST(levenshtein(lower(entity_text), 'customer#000000012') AS DOUBLE) / greatest(length(entity_text), 18) > 0.88", graph=True)
+def p02_indexed(spark, sf):
+    return _indexed(spark, sf).fuzzy("Customer#000000012", 0.88).select("id", F.round("score", 6).alias("score"))
+
+
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 

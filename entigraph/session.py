@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,10 @@ def session(app: str = "entigraph", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder (``spark.checkpoint.dir``): cuts the lineage of steps
-    that iterate, and survives lost executors.  Only a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (``spark.checkpoint.dir``), which the driver and all executors share.  Only a
+    local session without one gets a temporary folder."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
@@ -38,4 +39,19 @@ def settled(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="entigraph-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
-    return df.checkpoint()
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage of steps that iterate, survives lost
+    executors, and tells Spark the true size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has settled; results that were not yet written out can no longer be read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/settled-{spark.sparkContext.applicationId}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -40,7 +40,7 @@ def mixed(seed, n):
     return out
 
 
-@pytest.mark.parametrize("t", [0.6, 0.8, 0.85, 0.95, 1.0])
+@pytest.mark.parametrize("t", [0.6, 0.85, 1.0])
 def test_no_pair_is_lost(spark, t):
     words = mixed(int(t * 100), 260)
     rows = alike.measured(spark.createDataFrame([(("x", "y")[i % 2], w, i) for i, w in enumerate(words)], SCHEMA))
@@ -48,11 +48,11 @@ def test_no_pair_is_lost(spark, t):
     assert got == {(i, j) for j in range(len(words)) for i in range(j) if (j - i) % 2 == 0 and ratio(words[i], words[j]) >= t}
 
 
-@pytest.mark.parametrize("options", [{}, {"batch": 16, "batch_most": 40}, {"batch": 300}, {"batch": 300, "pairs_most": 50}])
+@pytest.mark.parametrize("options", [{"batch": 16, "batch_most": 40}, {"batch": 290, "pairs_most": 50}])
 def test_leaders(spark, options, monkeypatch):
     if "batch" in options:
         monkeypatch.setattr(alike, "_FEW_LEADERS", 0)
-    words = mixed(7, 400)
+    words = mixed(7, 300)
     want, leaders = {}, []
     for w in words:
         lead = next((x for x in leaders if ratio(x, w) >= 0.8), None)
