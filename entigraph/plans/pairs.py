@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import table
-from ..operators import blocking
+from ..operators import blocking, temporal
 from .registry import query as register
 
 #: Parts as entities: a text of seven words (two are in all of them), a block, two properties, and the
@@ -80,3 +80,11 @@ def d10(spark, sf):
 def d11(spark, sf):
     """How many others of its block each entity has to be compared with."""
     return blocking.candidate_counts(parts(spark, sf), ["brand"], 0.6)
+
+
+@register("r11_overlapping_pairs", "WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS k, o_orderpriority AS t, CAST(o_orderdate AS TIMESTAMP) AS s, CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(1 + o_orderkey % 400 AS INTEGER)) AS e FROM orders) SELECT a.id AS a, b.id AS b, date_diff('day', b.s, least(a.e, b.e)) AS days FROM o a JOIN o b ON a.k = b.k AND (a.s < b.s OR a.s = b.s AND a.id < b.id) AND b.s < a.e AND a.t <> b.t")
+def r11_pairs(spark, sf):
+    """Orders of one customer that are open at the same time, as relationships to their priorities."""
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("source_entity_id"), F.lit("ORDERED").alias("relationship_type"), F.col("o_orderpriority").alias("target_entity_id"), day.alias("start"), (day + F.make_dt_interval((F.lit(1) + F.col("o_orderkey") % 400).cast("int"))).alias("end"))
+    return temporal.contradictory_times(o).select("a", "b", F.col("days").cast("long").alias("days"))
