@@ -47,14 +47,6 @@ def resolution_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, F.lit(True)).withColumn("n_merged", F.col("n_original") - F.col("n_resolved"))
 
 
-def candidate_pairs(entities: DataFrame, block: list[str], ordered: bool = True) -> DataFrame:
-    """Pairs (a_*, b_*) of different entities of one block; with ``ordered`` each pair once."""
-    a = entities.select(*[F.col(c).alias(f"a_{c}") for c in entities.columns])
-    b = entities.select(*[F.col(c).alias(f"b_{c}") for c in entities.columns])
-    on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in block]
-    return a.join(b, [*on, (F.col("a_id") < F.col("b_id")) if ordered else (F.col("a_id") != F.col("b_id"))])
-
-
 def duplicates(entities: DataFrame, block: list[str], least: float = 0.8) -> DataFrame:
     """(a_id, b_id, score, severity) by words and letters: every pair of entities, from pairs of their texts."""
     of = classes(entities, block)

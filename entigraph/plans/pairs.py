@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import table
+from ..functions import tables
 from ..operators import blocking, temporal
 from .registry import query as register
 
@@ -88,3 +89,10 @@ def r11_pairs(spark, sf):
     day = F.col("o_orderdate").cast("timestamp_ntz")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("source_entity_id"), F.lit("ORDERED").alias("relationship_type"), F.col("o_orderpriority").alias("target_entity_id"), day.alias("start"), (day + F.make_dt_interval((F.lit(1) + F.col("o_orderkey") % 400).cast("int"))).alias("end"))
     return temporal.contradictory_times(o).select("a", "b", F.col("days").cast("long").alias("days"))
+
+
+@register("k03_first_rows", "SELECT p_brand, p_partkey, place FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS place FROM part) x WHERE place <= 3")
+def k03(spark, sf):
+    """A table function of SQL over a partitioned table."""
+    tables.register(spark)
+    return spark.sql("SELECT p_brand, p_partkey, place FROM first_rows(TABLE(SELECT p_brand, p_partkey, p_retailprice FROM {part}) PARTITION BY p_brand ORDER BY (p_retailprice DESC, p_partkey), n => 3)", part=table(spark, sf, "part"))
