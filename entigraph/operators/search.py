@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.similarity import levenshtein
+from ..functions.text import tokens
 
 
 def exact(entities: DataFrame, text: str, types: tuple[str, ...] = ()) -> DataFrame:
@@ -29,6 +30,15 @@ def fuzzy(entities: DataFrame, text: str, above: float = 0.5) -> DataFrame:
     return near.withColumn("score", levenshtein(F.lower("entity_text"), F.lower(F.lit(text)))).where(F.col("score") > above)
 
 
+def hashed_vectors(docs: DataFrame, width: int = 64) -> DataFrame:
+    """(doc_id, embedding): counts of words by a hash of them, ``width`` wide, unit norm; texts without words have none."""
+    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("w"))
+    place = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 7), 16, 10).cast("long") % width
+    counts = words.groupBy("doc_id", place.cast("int").alias("at")).agg(F.count("*").alias("n"))
+    filled = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return filled.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.coalesce(F.col("m")[i], F.lit(0)) / F.col("norm")).cast("float")).alias("embedding"))
+
+
 #: Query vectors that are sent to the executors at once, and numbers in them (32 MB).
 QUERY_ROWS, QUERY_NUMBERS = 65_536, 1 << 22
 

@@ -192,11 +192,15 @@ def n07(spark, sf):
 
 @register("n15_hashed_vectors")
 def n15(spark, sf):
-    """The vector that stands in where no model is at hand: hashed word counts, 64 wide, unit norm."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("w"))
-    counts = words.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(64)).cast("int").alias("at")).agg(F.count("*").alias("n"))
-    filled = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return filled.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.coalesce(F.col("m")[i], F.lit(0)) / F.col("norm")).cast("float")).alias("embedding"))
+    """The vector that stands in where no model is at hand."""
+    return search.hashed_vectors(table(spark, sf, "documents"))
+
+
+@register("n15_vector_weights", r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^a-zA-Z0-9\s]', '', 'g'), ' '), lambda w: w <> '')) AS w FROM documents), c AS (SELECT doc_id, CAST(('0x' || md5(w)[1:7]) AS BIGINT) % 64 AS p, count(*) AS n FROM w GROUP BY 1, 2) SELECT doc_id, CAST(p AS INTEGER) AS place, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 4) AS weight FROM c")
+def n15_weights(spark, sf):
+    """What is not zero in these vectors."""
+    v = search.hashed_vectors(table(spark, sf, "documents"))
+    return v.select("doc_id", F.posexplode("embedding").alias("place", "x")).where("x > 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 4).alias("weight"))
 
 
 @register("p05_neighbourhood_of_results", """, hit AS (SELECT id FROM entities WHERE entity_type = 'COUNTRY' AND contains(lower(entity_text), 'a')) SELECT hit.id, count(*) AS n_near FROM hit JOIN (SELECT source_entity_id AS own, target_entity_id AS far FROM relationships UNION SELECT target_entity_id, source_entity_id FROM relationships) s ON s.own = hit.id GROUP BY 1""", graph=True)

@@ -9,7 +9,7 @@ from ..fixtures import AS_OF, entities, relationships, table
 from ..functions import properties as props
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import chunking, graph, ontology, resolve, search, upsert
+from ..operators import chunking, graph, ontology, resolve, search, upsert, visual
 from ..sources import files, rdf
 from .registry import query as register
 
@@ -525,8 +525,9 @@ def r22(spark, sf):
 @register("u05_merged_graphs", "SELECT id, count(*) AS n FROM (SELECT id FROM entities WHERE entity_type = 'COUNTRY' UNION ALL SELECT id FROM entities WHERE entity_type IN ('COUNTRY', 'LOCATION')) x GROUP BY 1", graph=True)
 def u05(spark, sf):
     """Nodes and edges are put together, and nothing is dropped."""
-    e = entities(spark, sf)
-    both = e.where("entity_type = 'COUNTRY'").select("id").unionAll(e.where("entity_type IN ('COUNTRY', 'LOCATION')").select("id"))
+    e, r = entities(spark, sf), relationships(spark, sf)
+    countries, places = e.where("entity_type = 'COUNTRY'"), e.where("entity_type IN ('COUNTRY', 'LOCATION')")
+    both, _ = visual.merged((countries, r), (places, r))
     return both.groupBy("id").agg(F.count("*").alias("n"))
 
 

@@ -150,3 +150,13 @@ def test_relation_ends(spark):
     spans = spark.createDataFrame(found, "doc_id long, chunk_index int, entity_text string, entity_type string, start_position int")
     got = {tuple(r)[2:] for r in chunking.relations_by_pattern(chunks, spans).collect()}
     assert got == {("ann lee", "77", "owns_account", 0.6), ("Bob 5", "Bob 5", "transfers_money_to", 0.6)}
+
+
+def test_packed_sentences():
+    """Hand-computed: greedy up to the size, the next chunk begins with the end of the last one, short ones are left out."""
+    text = "Aaaa bbbb. Cccc dddd! Eeee ffff? Gggg."
+    assert chunking.pack_sentences(text, size=20, overlap=5, least=1) == ["Aaaa bbbb. Cccc dddd!", "dddd!Eeee ffff? Gggg."]
+    assert chunking.pack_sentences(text, size=19, overlap=3, least=13) == ["bb.Cccc dddd!", "dd!Eeee ffff? Gggg."]
+    assert chunking.pack_sentences("One. Two.", size=100, overlap=5, least=1) == ["One. Two."]
+    assert chunking.pack_sentences("One. Two.", size=100, overlap=5, least=50) == []
+    assert chunking.pack_sentences("", least=1) == []
