@@ -10,9 +10,9 @@ from ..functions import tables
 from ..operators import blocking, temporal
 from .registry import query as register
 
-#: Parts as entities: a text of seven words (two are in all of them), a block, two properties, and the
+#: Parts as entities: a text of six words (three are in all of them), brand and type as block, two properties, and the
 #: embedding of the vector whose id is the part's remainder by 5.
-_PARTS_SQL = "e AS (SELECT 'p:' || p_partkey AS id, lower(p_name || ' ' || p_type || ' part of size ' || (p_size % 5)) AS n, p_brand AS g, CAST(p_size AS VARCHAR) AS size, CAST(p_size % 10 AS VARCHAR) AS digit, p_partkey % 2 AS odd, p_partkey % 5 AS v, CAST(embedding AS DOUBLE[]) AS x FROM part LEFT JOIN embeddings ON vec_id = p_partkey % 5)"
+_PARTS_SQL = "e AS (SELECT 'p:' || p_partkey AS id, lower(p_name || ' part of size ' || (p_size % 5)) AS n, p_brand || '|' || p_type AS g, CAST(p_size AS VARCHAR) AS size, CAST(p_size % 10 AS VARCHAR) AS digit, p_partkey % 2 AS odd, p_partkey % 5 AS v, CAST(embedding AS DOUBLE[]) AS x FROM part LEFT JOIN embeddings ON vec_id = p_partkey % 5)"
 _WORDS = "CAST(len(list_intersect(list_distinct(string_split(a.n, ' ')), list_distinct(string_split(b.n, ' ')))) AS DOUBLE) / len(list_distinct(list_concat(string_split(a.n, ' '), string_split(b.n, ' '))))"
 _SCORE = f"CASE WHEN a.n = b.n THEN 1 ELSE ({_WORDS} + jaccard(a.n, b.n)) / 2 END"
 _COS = "list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x)))"
@@ -22,10 +22,10 @@ _NEAR = 0.15
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     p = table(spark, sf, "part")
-    text = F.concat_ws(" ", "p_name", "p_type", F.lit("part of size"), (F.col("p_size") % 5).cast("string"))
+    text = F.concat_ws(" ", "p_name", F.lit("part of size"), (F.col("p_size") % 5).cast("string"))
     properties = F.create_map(F.lit("size"), F.col("p_size").cast("string"))
     digits = F.create_map(F.lit("digit"), (F.col("p_size") % 10).cast("string"), F.lit("odd"), (F.col("p_partkey") % 2).cast("string"))
-    return p.join(v, F.col("p_partkey") % 5 == F.col("vec_id"), "left").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), text.alias("entity_text"), F.col("p_brand").alias("brand"), properties.alias("properties"), digits.alias("digits"), "embedding")
+    return p.join(v, F.col("p_partkey") % 5 == F.col("vec_id"), "left").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), text.alias("entity_text"), F.concat_ws("|", "p_brand", "p_type").alias("brand"), properties.alias("properties"), digits.alias("digits"), "embedding")
 
 
 def _conflicts_sql(most: int) -> str:
