@@ -167,11 +167,14 @@ def relations_by_pattern(chunks: DataFrame, found: DataFrame) -> DataFrame:
 
 def related_in_sentences(found: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, source_text, target_text, relationship_type, confidence): entities of different
-    types within one sentence, in order; the type by the pair of types, else related_to."""
-    inside = found.join(spans, ["doc_id", "chunk_index"]).where((F.col("start_position") >= F.col("start")) & (F.col("end_position") <= F.col("end")))
+    types within one sentence, in order; the type by the pair of types, else related_to.
+
+    Sides are merged, never broadcast: both come from exploded rows, which Spark takes to be as small as the file
+    they were made of."""
+    inside = found.join(spans.hint("merge"), ["doc_id", "chunk_index"]).where((F.col("start_position") >= F.col("start")) & (F.col("end_position") <= F.col("end")))
     a = inside.select("doc_id", "chunk_index", "sentence_no", *[F.col(c).alias(f"a_{c}") for c in ("entity_text", "entity_type", "start_position")])
     b = inside.select("doc_id", "chunk_index", "sentence_no", *[F.col(c).alias(f"b_{c}") for c in ("entity_text", "entity_type", "start_position")])
-    pairs = a.join(b, ["doc_id", "chunk_index", "sentence_no"]).where("a_start_position < b_start_position AND a_entity_type <> b_entity_type")
+    pairs = a.join(b.hint("merge"), ["doc_id", "chunk_index", "sentence_no"]).where("a_start_position < b_start_position AND a_entity_type <> b_entity_type")
     kind = F.lit("related_to")
     for (x, y), name in PAIR_RELATIONS.items():
         kind = F.when((F.col("a_entity_type") == x) & (F.col("b_entity_type") == y), name).otherwise(kind)
