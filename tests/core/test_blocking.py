@@ -116,3 +116,13 @@ def test_hot_text_is_compared_once(spark):
     rows = spark.range(30_000).selectExpr("format_string('%06d', id) AS id", "if(id % 3 = 0, concat('one ', id), 'the same') AS entity_text", "'A' AS kind")
     got = blocking.conflicts(rows, ["kind"])
     assert got.count() == 20_000 * 5
+
+
+def test_what_entities_of_one_value_share_is_found_once(spark):
+    """Values are compared by value and not by entity, and those alike carry their scores: no side with properties is joined again."""
+    rows = spark.range(3_000).selectExpr("format_string('%05d', id) AS id", "concat('t', id) AS entity_text", "'A' AS kind", "map('v', if(id % 2 = 0, 'left', 'on top')) AS properties")
+    plan = blocking.conflicts(rows, ["kind"], most=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "_properties" in line for line in plan.splitlines())
+    assert "exists(" not in plan
+    got = blocking.conflicts(rows, ["kind"], most=2).collect()
+    assert {(r.entity_id, r.other_id) for r in got} == {(f"{i:05d}", f"{j:05d}") for i in range(3_000) for j in ((1, 3) if i % 2 == 0 else (0, 2))}
