@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,12 +92,38 @@ def cut_at_ends(text: str, size: int = 1000, overlap: int = 200, spaced: bool =
 def chunked(docs: DataFrame, how: Callable[..., list[str]], **options) -> DataFrame:
     """(doc_id, chunk_index, chunk) by one of the rules above, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, c in enumerate(how(t or "", **options))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk"])
+    def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return ((d, i, c) for d, t in rows for i, c in enumerate(how(t or "", **options)))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, chunk string")
+    kinds = {"doc_id": pa.int64(), "chunk_index": pa.int32(), "chunk": pa.string()}
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_in_pieces(cut, kinds), "doc_id long, chunk_index int, chunk string")
+
+
+#: Rows, and characters of text, that a task of Python makes before it sends them.
+PIECE_ROWS, PIECE_CHARS = 2048, 1 << 20
+
+
+def _in_pieces(rows_of: Callable[[Iterator[tuple]], Iterator[tuple]], kinds: dict[str, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows made of a batch's rows one after the other, the last of ``kinds`` or ``entity_text`` being a text: a batch is
+    never made into Python values whole, and what is made of it leaves in pieces."""
+    names, at = list(kinds), list(kinds).index("entity_text") if "entity_text" in kinds else len(kinds) - 1
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds.values())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, chars = [], 0
+            for row in rows_of(tuple(c[j].as_py() for c in batch.columns) for j in range(batch.num_rows)):
+                held.append(row)
+                chars += len(row[at])
+                if len(held) >= PIECE_ROWS or chars >= PIECE_CHARS:
+                    yield batch_of(held)
+                    held, chars = [], 0
+            if held:
+                yield batch_of(held)
+
+    return run
 
 
 def records_in_chunks(rows: DataFrame, key: str, each: int = 50) -> DataFrame:
@@ -116,13 +142,13 @@ def entity_values(docs: DataFrame, patterns: dict[str, str] = ENTITY_PATTERNS) -
 def entity_spans(chunks: DataFrame, patterns: dict[str, str] = ENTITY_PATTERNS, confidence: float = 0.6) -> DataFrame:
     """Matches with their places: doc_id, chunk_index, entity_text, entity_type, start, end, confidence."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spans(rows: Iterator[tuple]) -> Iterator[tuple]:
         compiled = {k: re.compile(p, re.I) for k, p in patterns.items()}
-        for pdf in batches:
-            rows = [(d, i, m[0], k, m.start(), m.end(), confidence) for d, i, t in zip(pdf["doc_id"], pdf["chunk_index"], pdf["chunk"], strict=True) for k, p in compiled.items() for m in p.finditer(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "entity_text", "entity_type", "start_position", "end_position", "confidence"])
+        return ((d, i, m[0], k, m.start(), m.end(), confidence) for d, i, t in rows for k, p in compiled.items() for m in p.finditer(t))
 
-    return chunks.select("doc_id", "chunk_index", "chunk").mapInPandas(run, "doc_id long, chunk_index int, entity_text string, entity_type string, start_position int, end_position int, confidence double")
+    kinds = {"doc_id": pa.int64(), "chunk_index": pa.int32(), "entity_text": pa.string(), "entity_type": pa.string(), "start_position": pa.int32(), "end_position": pa.int32(), "confidence": pa.float64()}
+    rows = chunks.select(F.col("doc_id").cast("long"), F.col("chunk_index").cast("int"), "chunk")
+    return rows.mapInArrow(_in_pieces(spans, kinds), "doc_id long, chunk_index int, entity_text string, entity_type string, start_position int, end_position int, confidence double")
 
 
 def sentences(chunks: DataFrame) -> DataFrame:
