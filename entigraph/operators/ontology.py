@@ -12,6 +12,9 @@ _RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 _OWL = "http://www.w3.org/2002/07/owl#"
 _TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
+#: Relationship types that are named in a filter at most.
+_NAMED = 1000
+
 
 def classes(triples: DataFrame) -> DataFrame:
     """(uri, label, description, parent_class_uri, domain) of (s, p, o, n): the first of each predicate in order of n."""
@@ -74,7 +77,13 @@ def suggest(candidates: DataFrame, text: str, most: int = 5) -> DataFrame:
 
 def endpoint_violations(edges: DataFrame, entities: DataFrame, allowed: DataFrame) -> DataFrame:
     """Edges whose end types are not among those allowed (relationship_type, source_types, target_types);
-    a type without a rule, or an empty list, allows any."""
+    a type without a rule, or an empty list, allows any.
+
+    Types that no rule restricts cannot be violated; where the others are at most ``_NAMED``, only their edges are joined."""
+    strict = allowed.where((F.size("source_types") > 0) | (F.size("target_types") > 0))
+    named = [r[0] for r in strict.select("relationship_type").where("relationship_type IS NOT NULL").distinct().limit(_NAMED + 1).collect()]
+    if len(named) <= _NAMED:
+        edges = edges.where(F.col("relationship_type").isin(named))
     ends = entities.select("id", "entity_type")
     joined = edges.join(ends.select(F.col("id").alias("source_entity_id"), F.col("entity_type").alias("source_type")), "source_entity_id").join(ends.select(F.col("id").alias("target_entity_id"), F.col("entity_type").alias("target_type")), "target_entity_id").join(allowed, "relationship_type")
     bad = lambda kinds, kind: (F.size(kinds) > 0) & ~F.array_contains(kinds, F.col(kind))
