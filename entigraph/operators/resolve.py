@@ -127,13 +127,16 @@ def conflicts_by_source(entities: DataFrame) -> DataFrame:
 
 def transfer_edges(edges: DataFrame, loser: str, winner: str) -> DataFrame:
     """``edges`` with those of the loser repointed; one that the winner has already is made inactive."""
-    have = edges.where((F.col("source_entity_id") == winner) | (F.col("target_entity_id") == winner)).select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t"), F.col("relationship_type").alias("k")).distinct()
+    ends = F.col("source_entity_id"), F.col("target_entity_id")
+    touched = F.coalesce((ends[0] == loser) | (ends[1] == loser), F.lit(False))
+    near = settled(edges.where(ends[0].isin(loser, winner) | ends[1].isin(loser, winner)))  # all others pass as they are
+    have = near.where((ends[0] == winner) | (ends[1] == winner)).select(ends[0].alias("s"), ends[1].alias("t"), F.col("relationship_type").alias("k")).distinct()
     to = lambda c: F.when(F.col(c) == loser, F.lit(winner)).otherwise(F.col(c))
-    touched = (F.col("source_entity_id") == loser) | (F.col("target_entity_id") == loser)
-    moved = edges.withColumn("touched", touched).withColumn("ns", to("source_entity_id")).withColumn("nt", to("target_entity_id"))
+    moved = near.where(touched).withColumn("ns", to("source_entity_id")).withColumn("nt", to("target_entity_id"))
     joined = moved.join(have, (F.col("ns") == F.col("s")) & (F.col("nt") == F.col("t")) & (F.col("relationship_type") == F.col("k")), "left")
-    clash = F.col("touched") & (F.col("s").isNotNull() | (F.col("ns") == F.col("nt")))
-    return joined.withColumn("is_active", F.col("is_active") & ~clash).withColumn("source_entity_id", F.when(clash, F.col("source_entity_id")).otherwise(F.col("ns"))).withColumn("target_entity_id", F.when(clash, F.col("target_entity_id")).otherwise(F.col("nt"))).select(*edges.columns)
+    clash = F.coalesce(F.col("s").isNotNull() | (F.col("ns") == F.col("nt")), F.lit(False))
+    new = joined.withColumn("is_active", F.col("is_active") & ~clash).withColumn("source_entity_id", F.when(clash, F.col("source_entity_id")).otherwise(F.col("ns"))).withColumn("target_entity_id", F.when(clash, F.col("target_entity_id")).otherwise(F.col("nt"))).select(*edges.columns)
+    return edges.where(~touched).unionByName(new)
 
 
 def set_status(conflicts: DataFrame, condition: Column, status: str, by: str | None = None) -> DataFrame:
