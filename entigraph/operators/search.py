@@ -41,6 +41,8 @@ def hashed_vectors(docs: DataFrame, width: int = 64) -> DataFrame:
 
 #: Query vectors that are sent to the executors at once, and numbers in them (32 MB).
 QUERY_ROWS, QUERY_NUMBERS = 65_536, 1 << 22
+#: Of those, how many are scored at once against up to 4096 rows (8 MB of scores).
+QUERIES_AT_ONCE = 256
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, least: float = 0.5, k: int | None = None) -> DataFrame:
@@ -84,7 +86,9 @@ def _near(vectors: DataFrame, asked: DataFrame, least: float, k: int | None) ->
                     continue
                 v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), size)
                 for lo in range(0, len(at), 4096):
-                    yield _scored(own_ids[at[lo : lo + 4096]], v[lo : lo + 4096], query_ids, q)
+                    for first in range(0, len(q), QUERIES_AT_ONCE):
+                        part = slice(first, first + QUERIES_AT_ONCE)
+                        yield _scored(own_ids[at[lo : lo + 4096]], v[lo : lo + 4096], query_ids[part], q[part])
 
     def _scored(own: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         nv, nq = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
