@@ -2,6 +2,7 @@
 
 from entigraph import fixtures
 from entigraph.operators import ontology, resolve
+from entigraph.plans import reads
 
 
 def plan(df):
@@ -29,3 +30,9 @@ def test_only_edges_of_the_loser_are_joined(spark):
     moved = resolve.transfer_edges(edges, "L", "W")
     assert {tuple(r) for r in moved.collect()} == {("1", "a", "L", "K", False), ("2", "a", "W", "K", True), ("3", "b", "W", "K", True), ("4", "L", "W", "K", False), *rows[4:]}
     assert plan(moved).lstrip().startswith("Union")
+
+
+def test_pairs_are_distinct_before_they_are_joined(spark, sf_dir):
+    lines = plan(reads.d19(spark, sf_dir)).splitlines()
+    assert any("RepartitionByExpression [l_suppkey" in x for x in lines)
+    assert not any("Aggregate [s_suppkey" in x and "count" in x for x in lines)
