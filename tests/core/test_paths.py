@@ -51,3 +51,13 @@ def test_types_and_one_path(spark):
     assert sorted(tuple(r.path) for r in graph.shortest_paths(edges, pair, 4, ("T",)).collect()) == [("a", "B", "c"), ("a", "b", "c")]
     assert graph.shortest_path(edges, "a", "c", 4) == ["a", "c"] and graph.shortest_path(edges, "a", "zz", 4) is None
     assert graph.shortest_paths(edges, pair.limit(0), 4).count() == 0
+
+
+def test_an_end_of_many_pairs_goes_on_once(spark, monkeypatch):
+    fronts, hop = [], graph._hop
+    monkeypatch.setattr(graph, "_hop", lambda front, *rest: (fronts.append(front.count()), hop(front, *rest))[1])
+    edges = spark.createDataFrame([(str(i), f"s{i}", "m", "T") for i in range(50)] + [("a", "m", "t", "T"), ("b", "m", "t", "T")], SCHEMA)
+    pairs = spark.createDataFrame([(f"s{i}", "t") for i in range(50)], "source string, target string")
+    got = sorted(tuple(r.path) for r in graph.shortest_paths(edges, pairs, 2).collect())
+    assert got == sorted((f"s{i}", "m", "t") for i in range(50))
+    assert max(fronts) == 1
