@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ from .common import remove, shared_path, shuffle_width, text_or_empty
 EVERY = 64
 BLOCK_IDS = 1 << 16
 #: Bytes of remembered pieces and ids that a worker may hold, counted with what Python adds to each.
-_CACHED_BYTES = 320 << 20
+_CACHED_BYTES = 192 << 20
+#: As many are left to a worker after a task, beside which other stages run.
+_KEPT_BYTES = 48 << 20
 _ENTRY_BYTES = 200
 #: Longer pieces, such as whole texts without spaces, are not remembered.
 _LONG = 64
@@ -100,12 +103,17 @@ class Encoder:
             raw, begins = ids.tobytes(), (4 * at).tolist()
             self.known.update(zip(some, map(raw.__getitem__, map(slice, begins, [*begins[1:], 4 * len(ids)])), strict=True))
 
+    def forget(self, most: int) -> None:
+        """Forget what was learned last beyond ``most`` bytes: common pieces are among the first that were met."""
+        if self.held > most:
+            self.begin.clear()
+            self.known = dict(islice(self.known.items(), int(len(self.known) * (most / self.held))))
+            self.held = _ENTRY_BYTES * len(self.known) + 6 * sum(map(len, self.known))
+
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; what is new in any of them is learned at once."""
         if self.held > _CACHED_BYTES:
-            self.known.clear()
-            self.begin.clear()
-            self.held = 0
+            self.forget(_CACHED_BYTES // 2)
         get, missing, parts = self.known.get, set(), []
         for text in texts:
             if _MAYBE_UNSAFE.search(text) and _UNSAFE.search(text):
@@ -262,6 +270,7 @@ def stage_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, pat
                 counts += np.bincount(flat, minlength=vocabulary)
                 yield row(part.column(0).to_pylist(), part.column(2).to_pylist(), lengths, pack.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes()), None, None)
                 lo = hi
+        enc.forget(_KEPT_BYTES)
         used = np.flatnonzero(counts)
         yield row([], [], [], None, used.astype("<i4").tobytes(), counts[used].astype("<i8").tobytes())
 

@@ -41,6 +41,18 @@ def test_long_pieces_are_not_remembered(monkeypatch):
         assert enc.held < 10_000
 
 
+def test_common_pieces_outlast_a_full_cache(monkeypatch):
+    """What is held stays bounded, and pieces met early and often are not learned again each time it is full."""
+    monkeypatch.setattr(tokens, "_CACHED_BYTES", 100_000)
+    enc, plain = tokens.Encoder(P.path("byte_bpe_50k.json")), tokens.Encoder(P.path("byte_bpe_50k.json"))
+    for i in range(40):
+        text = "x the house of " + " ".join(f"rare{i}q{j}" for j in range(50))
+        assert enc.ids(text).tolist() == plain.model.encode(text, add_special_tokens=False).ids
+        assert enc.held <= 120_000 and {"the", "house", "of"} <= enc.known.keys()
+    enc.forget(10_000)
+    assert enc.held <= 11_000 and "the" in enc.known and enc.ids("x the house").tolist() == plain.ids("x the house").tolist()
+
+
 def test_lengths_are_optimal():
     rng = np.random.default_rng(0)
     for n in (2, 3, 17, 200):
