@@ -12,7 +12,7 @@ Thresholds have to be above 0.5 (below, the pieces have no characters).
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -116,12 +116,98 @@ def _work(items: DataFrame, t: float) -> int:
     return int(a.join(b, ["block", "gram"]).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0)
 
 
-def _few(leaders: DataFrame, others: DataFrame, t: float) -> DataFrame:
-    """As ``near_pairs``, for leaders that are few enough to be sent to all tasks: no pieces, one pass over the others."""
-    a = leaders.select("block", F.col("item").alias("leader"), F.col("place").alias("leader_place"), *[F.col(c).alias(f"a_{c}") for c in ("n", "low", "high", "over")])
-    fits = f"""leader_place < place AND 2 * least(a_n, n) >= {t!r}D * (a_n + n) - {_EPS}D
-        AND bit_count(a_low & low) + bit_count(a_high & high) + least(a_over, over) >= {t!r}D * (a_n + n) / 2 - {_EPS}D"""
-    return others.join(F.broadcast(a), "block").where(fits).select("block", "leader", "leader_place", "item", "place")
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, a column for each place, each named by its number in the second; -1 where a text has ended)."""
+    raw = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
+    known, at = np.unique(np.concatenate(raw), return_inverse=True)
+    sizes = np.array([len(x) for x in raw])
+    out = np.full((sizes.max(), len(raw)), -1, np.int32)
+    rows = np.repeat(np.arange(len(raw)), sizes)
+    out[np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes), rows] = at
+    return out, known
+
+
+def _common(leader: str, points: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``leader``, of at most 64 characters, and each text: the blocks
+    that the ratio counts are one, so they have no more characters.  A bit for each place of the leader."""
+    mine = np.frombuffer(leader.encode("utf-32-le", "surrogatepass"), np.uint32)
+    masks = np.zeros(len(known) + 1, np.uint64)  # the last is for places beyond a text's end
+    for i, c in enumerate(mine.tolist()):
+        masks[:-1][known == c] |= np.uint64(1 << i)
+    free = np.full(points.shape[1], ~np.uint64(0))
+    for column in points:
+        met = free & masks[column]
+        free = (free + met) | (free - met)
+    return np.bitwise_count(~free & np.uint64((1 << len(mine)) - 1))
+
+
+#: Longer texts than three times these are too long for such leaders, as a ratio above 0.5 wants.
+_BITS = 64
+
+
+class _Texts:
+    """Texts with their lengths and letter counts, to be compared with one leader at a time."""
+
+    def __init__(self, texts: list[str], n, low, high, over):
+        self.texts = texts
+        self.n, self.low, self.high, self.over = (np.asarray(c).astype(kind) for c, kind in ((n, np.int64), (low, np.uint64), (high, np.uint64), (over, np.int64)))
+        short = np.flatnonzero(self.n <= 3 * _BITS)
+        self.column = np.full(len(texts), -1)
+        self.column[short] = np.arange(len(short))
+        self.points, self.known = _points([texts[i] for i in short]) if len(short) else (None, None)
+
+    def of(self, i: int) -> tuple:
+        return self.texts[i], self.n[i], self.low[i], self.high[i], self.over[i]
+
+    def alike(self, leader: tuple, left: np.ndarray, t: float) -> np.ndarray:
+        """Which of ``left`` have a ratio of ``t`` or more to ``leader``."""
+        text, m, low, high, over = leader
+        least = t * (self.n[left] + m) / 2 - _EPS
+        same = np.bitwise_count(self.low[left] & low).astype(np.int64) + np.bitwise_count(self.high[left] & high) + np.minimum(self.over[left], over)
+        near = np.flatnonzero((np.minimum(self.n[left], m) >= least) & (same >= least))
+        column = self.column[left[near]]
+        if len(near) and 0 < m <= _BITS and (column >= 0).all():
+            near = near[_common(text, self.points[:, column], self.known) >= least[near]]
+        out = np.zeros(len(left), bool)
+        for i in near.tolist():
+            out[i] = difflib.SequenceMatcher(None, text, self.texts[left[i]]).ratio() >= t
+        return out
+
+
+def _first_alike(leaders: DataFrame, others: DataFrame, t: float) -> DataFrame:
+    """(block, place, item, leader): those of ``others`` that are alike to a leader of their block, with the first one.
+
+    For leaders that are few enough to be sent to all tasks, and stand before all others: one pass, in which a text
+    is compared with no leader after the first that it is alike to."""
+    of: dict[str, list[tuple]] = {}
+    for r in leaders.where("item IS NOT NULL").select("block", "item", "n", "low", "high", "over").orderBy(leaders["place"]).toArrow().to_pylist():
+        bits = (np.uint64(r[c] & (1 << 64) - 1) for c in ("low", "high"))
+        of.setdefault(repr(r["block"]), []).append((r["item"], r["n"], *bits, r["over"]))
+    sent = leaders.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[str, list[int]] = {}
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                by.setdefault(repr(block), []).append(i)
+            for block, rows in by.items():
+                if block not in sent.value:
+                    continue
+                part = batch.take(pa.array(rows, pa.int64()))
+                texts = _Texts(part.column("item").to_pylist(), *(part.column(c).to_numpy() for c in ("n", "low", "high", "over")))
+                lead, left = np.full(len(rows), -1), np.arange(len(rows))
+                for which, leader in enumerate(sent.value[block]):
+                    met = texts.alike(leader, left, t)
+                    lead[left[met]] = which
+                    left = left[~met]
+                    if not len(left):
+                        break
+                at = np.flatnonzero(lead >= 0)
+                kept = part.select(["block", "place", "item"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([sent.value[block][x][0] for x in lead[at].tolist()], kept.column(2).type)], names=["block", "place", "item", "leader"])
+
+    kinds = dict(others.dtypes)
+    return others.where("item IS NOT NULL").mapInArrow(run, f"block {kinds['block']}, place {kinds['place']}, item {kinds['item']}, leader {kinds['item']}")
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,32 +223,26 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _settle_small(t: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The same for a small head, from the texts themselves."""
+    """The same for a head that is small, or has few leaders, from the texts themselves."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
-        leaders: list[tuple] = []
-        out = []
-        for place, item, n, low, high, over in zip(pdf["place"], pdf["item"], pdf["n"], pdf["low"], pdf["high"], pdf["over"], strict=True):
-            for at, other, m, lo, hi, more in leaders:
-                least = t * (n + m) / 2 - _EPS
-                if min(n, m) >= least and (low & lo).bit_count() + (high & hi).bit_count() + min(over, more) >= least and difflib.SequenceMatcher(None, other, item).ratio() >= t:
-                    out.append(at)
-                    break
-            else:
-                leaders.append((place, item, n, low, high, over))
-                out.append(place)
-        return pdf.assign(leader_place=out)[["block", "item", "place", "leader_place"]]
-
-    def unsigned(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = {c: [int(x) & (1 << 64) - 1 for x in pdf[c]] for c in ("low", "high")}
-        return run(pdf.assign(**{c: pd.Series(v, dtype=object, index=pdf.index) for c, v in bits.items()}))
+        texts = _Texts(pdf["item"].tolist(), pdf["n"], pdf["low"], pdf["high"], pdf["over"])
+        lead, left = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        while len(left):
+            first, left = left[0], left[1:]
+            met = texts.alike(texts.of(first), left, t)
+            lead[first] = lead[left[met]] = first
+            left = left[~met]
+        return pdf.assign(leader_place=pdf["place"].to_numpy()[lead])[["block", "item", "place", "leader_place"]]
 
-    return unsigned
+    return run
 
 
 #: Leaders and characters that are sent to all tasks at most.
 _FEW_LEADERS, _FEW_CHARS = 1024, 4 << 20
+#: Texts and characters of a head that is settled directly, if few of the one before became leaders.
+_DIRECT, _DIRECT_CHARS = 8192, 1 << 20
 
 
 def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_most: int = 50_000_000, pairs_most: int = 200_000, batch_most: int = 1 << 16) -> DataFrame:
@@ -171,7 +251,8 @@ def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_mo
 
     Exact, in rounds.  The first undecided texts of each block, the head, settle among themselves; then all others
     are joined with the leaders that arise, and those that are alike to one are decided (nobody undecided stands
-    before a leader).  A head of up to 256 texts is settled directly.  It grows fourfold a round while most of it
+    before a leader).  A head of up to 256 texts is settled directly, and a larger one where at most an eighth of the
+    head before became leaders.  Else it grows fourfold a round while most of it
     become leaders; a larger one is joined with itself over pieces, and grows only while that join is
     far from ``work_most`` meetings of pieces and grams and ``pairs_most`` pairs to measure, and shrinks beyond those.
     So many texts that are alike fall to few leaders first and never meet each other, while unlike texts are done in
@@ -182,10 +263,11 @@ def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_mo
     order = Window.partitionBy("block").orderBy("place")
     shape = f"block {kinds['block']}, item {kinds['item']}, place {kinds['place']}, leader_place {kinds['place']}"
     done: list[DataFrame] = []
+    direct = batch
     while not undecided.isEmpty():
         placed = undecided.withColumn("_nth", F.row_number().over(order))
         while True:
-            head = placed.where(F.col("_nth") <= batch).drop("_nth")
+            head = placed.where(F.col("_nth") <= (max(batch, direct) if batch <= 256 else batch)).drop("_nth")
             if batch <= 256:
                 first = settled(head.groupBy("block").applyInPandas(_settle_small(threshold), shape))
                 break
@@ -205,10 +287,14 @@ def greedy_leaders(items: DataFrame, threshold: float, batch: int = 256, work_mo
         others = undecided.join(first.select("block", "place"), ["block", "place"], "left_anti").select(*undecided.columns)
         size = first.agg(F.count("*").alias("n"), F.count_if(F.expr("place = leader_place")).alias("leaders"), F.sum(F.length("item")).alias("chars")).first()
         few = size.leaders <= _FEW_LEADERS and size.chars <= _FEW_CHARS
-        met = alike((_few if few else near_pairs)(leaders, others, threshold), threshold)
-        joined = settled(met.groupBy("block", "place").agg(F.min_by(F.struct("leader", "item"), "leader_place").alias("m")).select("block", "place", "m.item", "m.leader"))
+        if few:
+            joined = settled(_first_alike(leaders, others, threshold))
+        else:
+            met = pairs(leaders, others, threshold)
+            joined = settled(met.groupBy("block", "place").agg(F.min_by(F.struct("leader", "item"), "leader_place").alias("m")).select("block", "place", "m.item", "m.leader"))
         done.append(joined.select("block", "item", "leader"))
         undecided = settled(others.join(joined.select("block", "place"), ["block", "place"], "left_anti").select(*undecided.columns))
+        direct = min(4 * max(batch, direct), _DIRECT) if batch <= 256 and 8 * size.leaders <= size.n and 4 * size.chars <= _DIRECT_CHARS else batch
         if 4 * size.leaders >= size.n and (batch <= 256 or 16 * work <= work_most and 16 * n_near <= pairs_most):
             batch = min(batch * 4, batch_most)
     out = undecided.select("block", "item", F.col("item").alias("leader"))

@@ -79,3 +79,20 @@ def test_many_alike_never_meet(spark):
     rows = spark.range(5000).selectExpr("'x' AS block", "format_string('Customer number %08d', id) AS item", "id AS place")
     got = alike.greedy_leaders(rows, 0.85)
     assert got.count() == 5000 and got.select("leader").distinct().count() < 20
+
+
+def test_numbered_names_take_few_rounds(spark, monkeypatch):
+    """Names that differ in their digits fall to few leaders, so heads grow and rounds stay few."""
+    names = [f"Customer#{i * 7:09d}" for i in range(3000)] + ["é" * 70 + "x", "é" * 69 + "xy", "日本" * 40]
+    want, found = {}, []
+    for name in names:
+        lead = next((x for x in found if difflib.SequenceMatcher(None, x, name).ratio() >= 0.85), None)
+        found += [name] if lead is None else []
+        want[name] = lead or name
+    written = []
+    settled = alike.settled
+    monkeypatch.setattr(alike, "settled", lambda df: written.append(1) or settled(df))
+    rows = spark.createDataFrame([("a", x, i) for i, x in enumerate(names)] + [("b", names[1], 0)], "block string, item string, place int")
+    got = {(r.block, r.item): r.leader for r in alike.greedy_leaders(rows, 0.85).collect()}
+    assert got == {("a", x): lead for x, lead in want.items()} | {("b", names[1]): names[1]}
+    assert len(written) <= 13
