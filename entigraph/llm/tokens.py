@@ -47,105 +47,204 @@ _ENTRY_BYTES = 200
 _LONG = 64
 _BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<int>, sizes array<int>, bits binary, checkpoints binary"
 _STAGED = "doc_ids array<long>, hashes array<long>, lengths array<int>, ids binary, counted binary, counts binary"
+#: Bytes of texts that are cut and looked up together.
+_TOGETHER = 2 << 20
 #: A space with white space on both sides, or at the end after white space: there a cut before the space
 #: would change how the tokenizer cuts the text.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
-#: What every such place holds; rare, and found faster.
-_MAYBE_UNSAFE = re.compile(r" (?:\s|\Z)")
-_MARKS = frozenset(".,;:!?")
+
+
+def _classes() -> np.ndarray:
+    """Of each byte: 1 letter (A-Z, a-z, and in two bytes up to U+024F), 2 digit, 3 mark, 4 line end, 0 other."""
+    out = np.zeros(256, np.uint8)
+    out[33:127] = 3
+    out[48:58] = 2
+    out[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 1
+    out[10], out[39] = 4, 0  # the tokenizer has rules of its own for what follows an apostrophe
+    return out
+
+
+def _spelling() -> np.ndarray:
+    """The characters that a byte-level model spells bytes with; the tab is left to part runs."""
+    out, free = np.zeros(256, "<u4"), 256
+    for byte in range(256):
+        plain = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
+        out[byte] = byte if plain else free
+        free += not plain
+    out[9] = 32
+    return out
+
+
+_CLASS, _SPELLING = _classes(), _spelling()
+#: First bytes of white space, and of some other characters.
+_MAYBE_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def _strings(raw: np.ndarray, begins: np.ndarray) -> pa.DictionaryArray:
+    """The strings that begin so in ``raw``, each up to the next."""
+    offsets = np.append(begins, len(raw)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+
+
+def _bytes(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the strings, offsets into them)."""
+    _, off, data = strings.buffers()
+    offsets = np.frombuffer(off, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of those that ``flat`` is made of, one after another, and where each ends."""
+    begins = np.cumsum(lengths) - lengths
+    n = lengths[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(begins[which] - (ends - n), n) + np.arange(n.sum())], ends
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
-    That kind of tokenizer never joins what stands before a space with what follows it, so a text is
-    cut before its spaces and the ids of each piece, from the library, are remembered.  New pieces are
-    encoded together, as one text; each begins at a token that begins with a space."""
+    That kind of tokenizer never joins what stands before a space with what follows it, so texts are cut
+    before their spaces and each different piece is looked at once.  Pieces of plain letters, digits, marks and line
+    ends are cut on, into the runs that the tokenizer makes of them.  The ids of runs, and of other pieces whole,
+    are remembered.  New runs are encoded together by the library's model, spelled as it spells bytes, so that
+    it need not cut them; other new pieces as one text, where each begins at a token that begins with a space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.spelled = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.spelled.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         names = self.model.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # the byte 0x20, as this model spells it
-        self.known: dict[str, bytes] = {}
-        self.begin: dict[str, bytes] = {}
+        self.widths = np.zeros(len(self.spaced), np.int64)
+        self.widths[list(names.values())] = list(map(len, names))
+        self.known: dict[str, bytes] = {}  # what follows a space
+        self.begin: dict[str, bytes] = {}  # what follows none
         self.held = 0
-        self.long: list[str] = []
-        self.marks = {m: self._alone(m) for m in _MARKS}
+        self.long: list[str] = []  # of these, long ones; none stays beyond the texts at hand
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        # a mark after a Latin letter or digit is a piece of its own, so the word is learned without it
-        marked = [p for p in pieces if len(p) > 1 and p[-1] in _MARKS and p[-2] < "\u0250" and p[-2].isalnum()]
-        if marked:
-            pieces = pieces.difference(marked).union([c for c in {p[:-1] for p in marked} if c not in self.known])
-        self._learn_whole(pieces)
-        for p in marked:
-            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
-        self.long += [p for p in pieces.union(marked) if len(p) > _LONG]
-        self.held += _ENTRY_BYTES * (len(pieces) + len(marked)) + 6 * (sum(map(len, pieces)) + sum(map(len, marked)))
-
-    def _learn_whole(self, pieces: set[str]) -> None:
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
-        for piece in pieces.difference(plain):
-            self.known[piece] = self._alone(" " + piece)
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of single runs without tabs."""
+        out: list[bytes] = []
+        for lo in range(0, len(runs), 2000):
+            raw = np.frombuffer("\t".join(runs[lo : lo + 2000]).encode(), np.uint8)
+            tabs = np.flatnonzero(raw == 9)
+            text = _SPELLING[raw].tobytes().decode("utf-32-le")
+            ids = np.array(self.spelled.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            last = np.append(tabs, len(raw)) - np.arange(len(tabs) + 1)  # bytes up to the end of each run
+            ends = np.cumsum(self.widths[ids])
+            at = np.searchsorted(ends, last)
+            if at[-1] + 1 != len(ids) or not np.array_equal(ends[at], last):
+                raise ValueError("the tokenizer's model does not spell bytes as expected")
+            cuts = (4 * (at + 1)).tolist()
+            out += map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of whole pieces; a space before each is theirs."""
+        found: dict[str, bytes] = {}
+        plain = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and "<|" not in p]
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
-            ids = np.frombuffer(self._alone(" " + " ".join(some)), "<u4")
+            ids = np.frombuffer(self._alone("".join(some)), "<u4")
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(some):
                 raise ValueError("the tokenizer joins text across spaces")
             raw, begins = ids.tobytes(), (4 * at).tolist()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, begins, [*begins[1:], 4 * len(ids)])), strict=True))
+            found.update(zip(some, map(raw.__getitem__, map(slice, begins, [*begins[1:], len(raw)])), strict=True))
+        return [found[p] if p in found else self._alone(p) for p in pieces]
+
+    def _look_up(self, strings: list[str], whole: np.ndarray) -> list[bytes]:
+        """Ids of different runs or, where ``whole``, pieces; new ones are learned."""
+        known, begin = self.known.get, self.begin.get
+        out = [known(x[1:]) if x[0] == " " else begin(x) for x in strings]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        of = whole[np.array(new, np.int64)]
+        for learn, at in ((self._runs, np.compress(~of, new).astype(int).tolist()), (self._pieces, np.compress(of, new).astype(int).tolist())):
+            fresh = [strings[i] for i in at]
+            for i, x, ids in zip(at, fresh, learn(fresh), strict=True):
+                out[i] = ids
+                if len(x) <= _LONG:
+                    self.held += _ENTRY_BYTES + 6 * len(x)
+                    if x[0] == " ":
+                        self.known[x[1:]] = ids
+                    else:
+                        self.begin[x] = ids
+        return out
 
     def forget(self, most: int) -> None:
         """Forget what was learned last beyond ``most`` bytes: common pieces are among the first that were met."""
         if self.held > most:
-            self.begin.clear()
-            self.known = dict(islice(self.known.items(), int(len(self.known) * (most / self.held))))
-            self.held = _ENTRY_BYTES * len(self.known) + 6 * sum(map(len, self.known))
+            share = most / self.held
+            self.known, self.begin = (dict(islice(d.items(), int(len(d) * share))) for d in (self.known, self.begin))
+            self.held = sum((_ENTRY_BYTES + 6) * len(d) + 6 * sum(map(len, d)) for d in (self.known, self.begin))
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
+    def many(self, texts: list[str] | pa.StringArray) -> list[np.ndarray]:
         """Ids of each text; what is new in any of them is learned at once."""
         if self.held > _CACHED_BYTES:
             self.forget(_CACHED_BYTES // 2)
-        get, missing, parts = self.known.get, set(), []
-        for text in texts:
-            if _MAYBE_UNSAFE.search(text) and _UNSAFE.search(text):
-                parts.append(None)
-                continue
-            head, *rest = text.split(" ")
-            found = list(map(get, rest))
-            if None in found:
-                missing.update([w for w, b in zip(rest, found, strict=True) if b is None])
-            parts.append((head, rest, found))
-        if missing:
-            self._learn(missing)
-        out = []
-        for text, part in zip(texts, parts, strict=True):
-            if part is None:
-                out.append(np.frombuffer(self._alone(text), "<u4"))
-                continue
-            head, rest, found = part
-            begin = self.begin.get(head)
-            if begin is None:
-                begin = self._alone(head)
-                if len(head) <= _LONG:
-                    self.begin[head] = begin
-                    self.held += _ENTRY_BYTES + 6 * len(head)
-            if None in found:
-                found = [self.known[w] if b is None else b for w, b in zip(rest, found, strict=True)]
-            out.append(np.frombuffer(begin + b"".join(found), "<u4"))
-        for piece in self.long:
-            self.known.pop(piece, None)
-        self.long.clear()
+        if not len(texts):
+            return []
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        raw, offsets = _bytes(texts)
+        # a head from where a text begins, and a piece from each space
+        spaces = np.flatnonzero(raw == 32)
+        begins = np.sort(np.concatenate([offsets[:-1], spaces]), kind="stable")
+        pieces = _strings(raw, begins)
+        which = pieces.indices.to_numpy()
+        last = np.searchsorted(spaces, offsets[1:]) + np.arange(1, len(offsets))  # pieces up to the end of each text
+        flat, lengths, doubtful = self._encoded(pieces.dictionary)
+        flat, ends = _gather(flat, lengths, which)
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], last])].tolist()
+        out = [flat[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
+        for i in np.unique(np.searchsorted(last, np.flatnonzero(doubtful[which]), "right")).tolist() if doubtful.any() else ():
+            text = texts[i].as_py()
+            if _UNSAFE.search(text):
+                out[i] = np.frombuffer(self._alone(text), "<u4")
         return out
 
+    def _encoded(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of different pieces, how many each has, whether it may be unsafe to cut before it)."""
+        raw, offsets = _bytes(pieces)
+        begins, sizes = offsets[:-1], np.diff(offsets)
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+        begins, empty = np.minimum(begins, len(raw) - 1), sizes == 0
+        kind, second = _CLASS[raw], np.minimum(begins + 1, len(raw) - 1)
+        after = (raw[begins] == 32) & ~empty
+        doubtful = after & ((sizes == 1) | _MAYBE_SPACE[raw[second]])
+        # the space belongs to the run that follows it
+        kind[begins[after]] = kind[second[after]]
+        odd = kind == 0
+        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0xC9) & (raw[1:] > 0x8F) | (raw[:-1] == 60) & (raw[1:] == 124)
+        total = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
+        whole = (total[offsets[1:]] > total[offsets[:-1]]) | (after & (sizes == 1)) | (kind[begins] == 4)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = kind[1:] != kind[:-1]
+        # of line ends before something else in a piece, the last is a run of its own
+        ended = np.zeros(len(raw) + 1, bool)
+        ended[offsets] = True
+        cut[1:-2] |= (kind[:-2] == 4) & (kind[1:-1] == 4) & (kind[2:] != 4) & ~ended[2:-1]
+        cut[:-1] &= ~np.repeat(whole, sizes)
+        cut[begins[~empty]] = True
+        at = np.flatnonzero(cut[:-1])
+        runs = _strings(raw, at)
+        codes = runs.indices.to_numpy()
+        entire = np.zeros(len(runs.dictionary), bool)
+        entire[codes[np.repeat(whole, sizes)[at]]] = True
+        found = self._look_up(runs.dictionary.to_pylist(), entire)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        flat, ends = _gather(ids, np.fromiter(map(len, found), np.int64, len(found)) >> 2, codes)
+        ends = np.concatenate([[0], ends])[np.searchsorted(at, offsets)]
+        return flat, np.diff(ends), doubtful
+
     def ids(self, text: str) -> np.ndarray:
         return self.many([text])[0]
 
@@ -259,17 +358,20 @@ def stage_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, pat
 
         for batch in batches:
             lo, n = 0, batch.num_rows
-            sizes = pa.compute.binary_length(batch.column(1)).to_numpy()
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy())
             while lo < n:
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 3 * BLOCK_IDS, "right")))
-                part = batch.slice(lo, hi - lo)
-                pieces = enc.many(part.column(1).to_pylist())
-                lengths = [len(p) + 1 for p in pieces]
-                flat = np.concatenate([x for p in pieces for x in (p, end)])
-                counts += np.bincount(flat, minlength=vocabulary)
-                yield row(part.column(0).to_pylist(), part.column(2).to_pylist(), lengths, pack.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes()), None, None)
-                lo = hi
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _TOGETHER, "right")))
+                pieces = enc.many(batch.column(1).slice(lo, hi - lo))
+                full = np.cumsum([len(p) + 1 for p in pieces])
+                while lo < hi:
+                    done = len(pieces) - (hi - lo)
+                    up = max(done + 1, int(np.searchsorted(full, (full[done - 1] if done else 0) + BLOCK_IDS, "right")))
+                    part, some = batch.slice(lo, up - done), pieces[done:up]
+                    flat = np.concatenate([x for p in some for x in (p, end)])
+                    counts += np.bincount(flat, minlength=vocabulary)
+                    planes = pack.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+                    yield row(part.column(0).to_pylist(), part.column(2).to_pylist(), [len(p) + 1 for p in some], planes, None, None)
+                    lo += up - done
         enc.forget(_KEPT_BYTES)
         used = np.flatnonzero(counts)
         yield row([], [], [], None, used.astype("<i4").tobytes(), counts[used].astype("<i8").tobytes())

@@ -98,3 +98,26 @@ def test_round_trip_of_documents(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.round_trip(docs, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_a_run_is_encoded_once(monkeypatch):
+    """Words that only differ in the marks and lines around them are learned once; ids stay those of whole texts."""
+    enc = tokens.Encoder(P.path("byte_bpe_50k.json"))
+    words = [f"thonti{a}{b}ble" for a in "aeiou" for b in "aeiou"]
+    texts = [" ".join(f"x {w}{m}" for w in words) for m in ("", ",", "***", "!'s", ".\n\nEn", ".\nTible,", "\n\n", "é×", "ɏ", "ɐ")]
+    assert [i.tolist() for i in enc.many(texts)] == [direct(t) for t in texts]
+    learned = [p for p in enc.known if p.startswith("thonti")]
+    # a piece with the apostrophe, the cross or the last letter is learned whole
+    assert len(learned) == 5 * len(words)
+
+
+def test_texts_cut_together_give_the_ids_of_whole_texts():
+    """Heads, spaces at either end, empty texts, line ends and characters of every class, many texts at a time."""
+    from tokenizers import Tokenizer
+
+    whole, enc = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokens.Encoder(P.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    parts = [" ", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "a", "Wörd", "×", "÷", "ɏ", "ɐ", "'", "'s", "'S", "12", "²", "<", "|", "<|endoftext|>", "_", " ", "　", "́", "ß", "\x00", "\x7f", "µ", "日", "😀", "-", ".", ", "]
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(100)]
+        assert [i.tolist() for i in enc.many(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)], texts
